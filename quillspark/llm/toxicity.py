@@ -30,6 +30,8 @@ BUCKETS = 1 << 18
 FACTORS = 4
 #: Labelled rows that the machine is fitted on, at most.
 MAX_TRAIN = 10_000
+#: Terms that the machine uses, at most, and the dependence on the label that a term must show.
+KEPT, CHI2 = 1024, 12.0
 PREFIXES = (3, 4, 5, 6)
 TERMS = 1 + len(PREFIXES)
 
@@ -85,36 +87,48 @@ def train_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str,
     return docs.join(F.broadcast(picked), docs[id_col] == F.col("_id")).select("_y", text_col).mapInArrow(run, "y int, terms array<int>")
 
 
-def fit(y: np.ndarray, offsets: np.ndarray, at: np.ndarray, rounds: int = 14, seed: int = 3) -> Machine:
-    """AdaGrad on minibatches, with a soft threshold on linear weights so that chance terms stay at zero."""
-    if not len(y):
-        return Machine(-1e-3, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
-    rng = np.random.default_rng(seed)
-    bias, lin = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), np.zeros(BUCKETS)
-    fac = rng.normal(0, 0.01, (BUCKETS, FACTORS))
-    g_lin, g_fac = np.full(BUCKETS, 1e-6), np.full((BUCKETS, FACTORS), 1e-6)
-    size, n = np.diff(offsets), len(y)
+def screen(y: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Buckets whose presence depends on the label: the KEPT with the largest chi-square at or above CHI2."""
+    own = np.repeat(np.arange(len(y)), np.diff(offsets))
+    seen = np.unique(own * BUCKETS + at)
+    row, x = seen // BUCKETS, seen % BUCKETS
+    a = np.bincount(x, y[row], BUCKETS)
+    m, pos, n = np.bincount(x, minlength=BUCKETS), y.sum(), len(y)
+    expected, spread = m * pos / n, m * (pos / n) * (1 - pos / n) * (1 - m / n)
+    chi2 = np.where(m >= 3, (np.abs(a - expected) - 0.5).clip(0) ** 2 / np.maximum(spread, 1e-9), 0)
+    best = np.argsort(-chi2, kind="stable")[:KEPT]
+    return np.sort(best[chi2[best] >= CHI2])
+
+
+def fit(y: np.ndarray, offsets: np.ndarray, at: np.ndarray, rounds: int = 200, seed: int = 3) -> Machine:
+    """Screen the terms, then AdaGrad over the whole sample with a soft threshold on linear weights, so that chance terms stay at zero."""
+    lin_all, fac_all = np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32)
+    if not len(y) or y.min() == y.max():
+        return Machine(-1e-3 if not len(y) or y.max() == 0 else 1e-3, lin_all, fac_all)
+    used = screen(y, offsets, at)
+    to = np.full(BUCKETS, -1)
+    to[used] = np.arange(len(used))
+    own, x = np.repeat(np.arange(len(y)), np.diff(offsets)), to[at]
+    own, x = own[x >= 0], x[x >= 0]
+    n, rng = len(y), np.random.default_rng(seed)
+    bias, lin, fac = float(np.log(y.mean() / (1 - y.mean()))), np.zeros(len(used)), rng.normal(0, 0.02, (len(used), FACTORS))
+    g_bias, g_lin, g_fac = 1e-6, np.full(len(used), 1e-8), np.full(fac.shape, 1e-8)
     for _ in range(rounds):
-        for part in np.array_split(rng.permutation(n), max(1, n // 500)):
-            where = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in part])
-            own, x = np.repeat(np.arange(len(part)), size[part]), at[where]
-            used, x = np.unique(x, return_inverse=True)
-            lx, vx = lin[used][x], fac[used][x]
-            vec = np.stack([np.bincount(own, vx[:, f], len(part)) for f in range(FACTORS)], axis=1)
-            z = bias + np.bincount(own, lx, len(part)) + 0.5 * ((vec**2).sum(axis=1) - np.bincount(own, (vx**2).sum(axis=1), len(part)))
-            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]
-            bias -= 0.05 * err.mean()
-            e = err[own]
-            gl = np.bincount(x, e, len(used)) / len(part)
-            gf = np.stack([np.bincount(x, e * (vec[own, f] - vx[:, f]), len(used)) for f in range(FACTORS)], axis=1) / len(part) + 1e-4 * fac[used]
-            g_lin[used] += gl**2
-            g_fac[used] += gf**2
-            step = 0.1 / np.sqrt(g_lin[used])
-            new = lin[used] - step * gl
-            lin[used] = np.sign(new) * np.maximum(np.abs(new) - step * 4e-4, 0)
-            fac[used] -= 0.01 / np.sqrt(g_fac[used]) * gf
-    fac[np.abs(fac) < 0.02] = 0
-    return Machine(bias, lin.astype(np.float32), fac.astype(np.float32))
+        vx = fac[x]
+        vec = np.stack([np.bincount(own, vx[:, f], n) for f in range(FACTORS)], axis=1)
+        z = bias + np.bincount(own, lin[x], n) + 0.5 * ((vec**2).sum(axis=1) - np.bincount(own, (vx**2).sum(axis=1), n))
+        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        e = err[own]
+        gl = np.bincount(x, e, len(used)) + 1e-5 * lin
+        gf = np.stack([np.bincount(x, e * (vec[own, f] - vx[:, f]), len(used)) for f in range(FACTORS)], axis=1) + 1e-3 * fac
+        g_bias, g_lin, g_fac = g_bias + err.sum() ** 2, g_lin + gl**2, g_fac + gf**2
+        bias -= 0.1 * err.sum() / np.sqrt(g_bias)
+        step = 0.2 / np.sqrt(g_lin)
+        new = lin - step * gl
+        lin = np.sign(new) * np.maximum(np.abs(new) - step * 2e-5, 0)
+        fac -= 0.02 / np.sqrt(g_fac) * gf
+    lin_all[used], fac_all[used] = lin, fac
+    return Machine(bias, lin_all, fac_all)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text") -> Machine:
