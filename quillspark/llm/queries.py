@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, html_extract, pii, quality, sharding, token_counts, toxicity
+from quillspark.llm import bpe, html_extract, ngram_join, pii, quality, sharding, token_counts, toxicity
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,13 +40,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.train(docs))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_html, op4_toxicity, op6_token_counts, op8_sharding, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_html, op4_toxicity, op6_token_counts, op8_sharding, op9_ngram_join, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
