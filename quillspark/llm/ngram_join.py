@@ -50,6 +50,8 @@ HOT = 1 << 17
 #: Prefix n-grams that one bucket holds, about, and that a task packs at a time.
 BUCKET, PACK = 1_000_000, 600_000
 
+#: Distinct offsets for the places in an n-gram.
+_STEPS = np.arange(1, 65, dtype=np.uint64) * np.array(0x9E3779B97F4A7C15, np.uint64)
 _ZERO = np.zeros(0, np.uint64)
 
 
@@ -65,7 +67,7 @@ def shingle_sets(text: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nda
     rolled = np.zeros(n, np.uint64)
     size = np.diff(offsets)
     for k in range(words):
-        part = mix(h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1))
+        part = mix(h + _STEPS[k])
         if k < n:
             rolled[: n - k] += part[k:]
     full = np.zeros(n, bool)
@@ -76,7 +78,7 @@ def shingle_sets(text: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nda
     extra = np.empty(len(short), np.uint64)
     for j, r in enumerate(short):
         a, b = offsets[r], offsets[r + 1]
-        at = h[a:b] + np.uint64(0x9E3779B97F4A7C15) * np.arange(1, b - a + 1, dtype=np.uint64)
+        at = h[a:b] + _STEPS[: b - a]
         extra[j] = mix(at).sum(dtype=np.uint64) ^ np.uint64(b - a)
     value = np.concatenate((mix(rolled[full]), mix(extra)))
     own = np.concatenate((row[full], short))

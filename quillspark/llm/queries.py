@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, html_extract, ngram_join, pii, quality, sharding, token_counts, toxicity
+from quillspark.llm import bpe, html_extract, ngram_join, ngram_lm, pii, quality, sharding, token_counts, toxicity
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_html, op4_toxicity, op6_token_counts, op8_sharding, op9_ngram_join, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_html, op4_toxicity, op6_token_counts, op7_ngram_lm, op8_sharding, op9_ngram_join, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
