@@ -186,33 +186,38 @@ def _written(kinds: list[tuple[str, list[tuple[int, int]]]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, spans in kinds for s, e in spans)
 
 
-def find(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans[, redacted]) for every row."""
+def _found(text: str, classifier: Classifier, known: dict) -> list[tuple[str, list[tuple[int, int]]]]:
+    base = base_spans(text)
+    more = []
+    for s, e, _, shape in candidates(text, [s for kind in base for s in kind]):
+        if shape not in known:
+            known[shape] = classifier.accepts(shape)
+        if known[shape]:
+            more.append((s, e))
+    return [*zip(KINDS, base, strict=True), (EXTRA, more)]
+
+
+def masked(text: str, spans: list[tuple[str, list[tuple[int, int]]]]) -> str:
+    """The text with every span replaced by its kind; of overlapping spans the first names the place and the union goes."""
+    done, parts = 0, []
+    for s, e, k in sorted((s, e, k) for k, own in spans for s, e in own):
+        if s >= done:
+            parts += [text[done:s], f"<{k.upper()}>"]
+        done = max(done, e)
+    return "".join([*parts, text[done:]])
+
+
+def find(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row."""
     bound_batches(docs.sparkSession)
 
     def one(text: str, known: dict) -> tuple:
-        base = base_spans(text)
-        kinds = list(zip(KINDS, base, strict=True))
-        more = []
-        for s, e, _, shape in candidates(text, [s for kind in base for s in kind]):
-            if shape not in known:
-                known[shape] = classifier.accepts(shape)
-            if known[shape]:
-                more.append((s, e))
-        spans = [*kinds, (EXTRA, more)]
-        digest = hashlib.sha256(_written(kinds).encode()).hexdigest()
-        out = [*map(len, base), digest, _written(spans)]
-        if redact:
-            done, parts = 0, []
-            for s, e, k in sorted((s, e, k) for k, own in spans for s, e in own):
-                if s >= done:
-                    parts += [text[done:s], f"<{k.upper()}>"]
-                done = max(done, e)
-            out.append("".join([*parts, text[done:]]))
-        return tuple(out)
-
-    names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", *(["redacted"] if redact else [])]
-    kinds = [pa.int64()] * 4 + [pa.string()] * (3 if redact else 2)
+        spans = _found(text, classifier, known)
+        base = spans[: len(KINDS)]
+        return *(len(own) for _, own in base), hashlib.sha256(_written(base).encode()).hexdigest(), _written(spans)
+
+    names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
@@ -221,5 +226,21 @@ def find(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names)
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    more = ", redacted string" if redact else ""
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string{more}")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+
+
+def redact(docs: DataFrame, classifier: Classifier, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """All rows and columns, with spans masked in the text and the character count (if there is such a column) brought up to date; null texts stay null."""
+    bound_batches(docs.sparkSession)
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for b in batches:
+            texts = [t and masked(t, _found(t, classifier, known)) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)], own)
+
+    done = plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return done.withColumn(chars_col, F.length(text_col).cast(dict(docs.dtypes)[chars_col])) if chars_col in docs.columns else done

@@ -103,26 +103,56 @@ def votes() -> dict[str, Column]:
     }
 
 
-def reliability(voted: DataFrame, names: list[str], prior: float) -> Reliability:
-    """Estimate from the counts of vote patterns: at most 3 ** len(names) rows reach the driver."""
-    rows = voted.groupBy(*names).agg(F.count("*").alias("n")).collect()
+def fit_patterns(rows: list, names: list[str], prior: float) -> Reliability:
+    """Estimate from the counts of vote patterns: at most 3 ** len(names) rows."""
+    rows = sorted(rows, key=lambda r: tuple(r[v] for v in names))
     pattern = np.array([[r[v] for v in names] for r in rows], dtype=np.int64).reshape(-1, len(names))
     return estimate(pattern, np.array([r["n"] for r in rows], dtype=float), prior)
 
 
+def _odds(fitted: Reliability, names: list[str]) -> Column:
+    odds = F.lit(fitted.prior)
+    for i, v in enumerate(names):
+        a, b, c = (float(x) for x in fitted.log_ratio[i])
+        odds = odds + F.when(F.col(v) == AGAINST, a).when(F.col(v) == ABSTAIN, b).otherwise(c)
+    return odds
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def keep(docs: DataFrame, text_col: str = "text", prior: float = 0.85) -> DataFrame:
+    """The rows that judge() keeps, with their columns as they are. The verdict is taken again where the text is, so that no text is shuffled."""
+    bound_batches(docs.sparkSession)
+    rules = votes()
+    names = list(rules)
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*own)
+    text = own[docs.columns.index(text_col)]
+    voted = written(features(plain.select(F.lit(0).alias("k"), text), "k", text).withColumns(rules).groupBy(*names).agg(F.count("*").alias("n")), "votes")
+    fitted = fit_patterns(voted.collect(), names, prior)
+    at = own.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, pa.int64()) for x in _features(b.column(at))]], [*own, *COUNTS])
+
+    schema = plain.schema
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    judged = plain.mapInArrow(run, schema).withColumns(rules)
+    return judged.where(~_base_failed() & (_odds(fitted, names) >= 0)).select(*[F.col(c).alias(n) for c, n in zip(own, docs.columns, strict=True)])
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.85) -> DataFrame:
     """(id, COUNTS, base_failed, posterior, kept) for every row."""
     rules = votes()
     names = list(rules)
     voted = written(features(docs, id_col, text_col), "quality").withColumns(rules)
-    fitted = reliability(voted, names, prior)
-    odds = F.lit(fitted.prior)
-    for i, v in enumerate(names):
-        a, b, c = (float(x) for x in fitted.log_ratio[i])
-        odds = odds + F.when(F.col(v) == AGAINST, a).when(F.col(v) == ABSTAIN, b).otherwise(c)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    fitted = fit_patterns(voted.groupBy(*names).agg(F.count("*").alias("n")).collect(), names, prior)
     return (
-        voted.withColumn("base_failed", failed)
-        .withColumn("posterior", 1 / (1 + F.exp(-odds)))
+        voted.withColumn("base_failed", _base_failed())
+        .withColumn("posterior", 1 / (1 + F.exp(-_odds(fitted, names))))
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, html_extract, ngram_join, ngram_lm, pii, quality, sharding, token_counts, toxicity
+from quillspark.llm import bpe, decontam, html_extract, ngram_join, ngram_lm, pii, quality, sharding, token_counts, toxicity
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,8 +57,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_html, op4_toxicity, op6_token_counts, op7_ngram_lm, op8_sharding, op9_ngram_join, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_html, op4_toxicity, op5_decontamination, op6_token_counts, op7_ngram_lm, op8_sharding, op9_ngram_join, op10_pii, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
