@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Authority and path of a URL. The built-in parser gives NULL for URLs with malformed escapes, which feeds do hold.
+_HOST = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+_PATH = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+
+
 def host(url: Column) -> Column:
     """Lower-case host, or NULL where there is none."""
-    found = F.lower(F.try_parse_url(F.trim(url), F.lit("HOST")))
+    found = F.lower(F.regexp_extract(url, _HOST, 1))
     return F.when(F.length(found) > 0, found)
 
 
@@ -19,8 +24,7 @@ def domain(url: Column) -> Column:
 
 def acceptable(url: Column) -> Column:
     """An http or https URL with a host."""
-    scheme = F.lower(F.try_parse_url(F.trim(url), F.lit("PROTOCOL")))
-    return F.coalesce(scheme.isin("http", "https") & host(url).isNotNull(), F.lit(False))
+    return F.coalesce(url.rlike(r"(?i)^\s*https?://") & host(url).isNotNull(), F.lit(False))
 
 
 def canonical(url: Column) -> Column:
@@ -28,7 +32,7 @@ def canonical(url: Column) -> Column:
 
     Escapes that are no escapes stay as they are, and a plus sign is not a space.
     """
-    path = F.coalesce(F.try_parse_url(F.trim(url), F.lit("PATH")), F.lit(""))
+    path = F.regexp_extract(F.trim(url), _PATH, 1)
     path = F.when(path == "", F.lit("/")).otherwise(path)
     decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
     single = F.regexp_replace(decoded, "/{2,}", "/")

@@ -94,7 +94,7 @@ def shown(value: Column) -> Column:
     digits = F.greatest(F.lit(0), F.lit(9) - F.floor(F.log10(F.greatest(F.abs(value), F.lit(1e-300)))).cast("int"))
     fixed = F.format_string("%.10f", F.round(value, 10))
     short = F.regexp_replace(F.regexp_replace(F.when(digits >= 10, fixed).otherwise(F.format_string("%.9f", value)), "0+$", ""), r"\.$", "")
-    return F.when(whole, value.cast("decimal(38,0)").cast("string")).otherwise(short)
+    return F.when(whole, value.cast("decimal(38,0)").cast("string")).when(value.isNotNull(), short)
 
 
 def normal_number(text: Column) -> Column:
