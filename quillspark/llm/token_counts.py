@@ -4,8 +4,8 @@ For a word w of a BPE vocabulary let last(p) be the last token of the encoding
 of prefix p without a word end, and count(p) its number of tokens. A token t
 that ends p is last(p) exactly if the two tokens last(p without t), t encode to
 themselves, so last and count of a prefix follow from those of shorter prefixes.
-closed(p) is the count with the word end put after p: what the library gives for
-a text that stops there. All prefixes met by a task are kept, so words that
+The count with a word end after p, which is what the library gives for a text that
+stops there, follows from the same stored states. All prefixes met by a task are kept, so words that
 begin alike share the work, and truncation or budget questions are lookups.
 
 Edge cases: a null text counts as empty and has 0 tokens; white space alone has
@@ -16,24 +16,26 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import tokenizer, words
+from quillspark.llm.bpe import byte_of, tokenizer, words
 from quillspark.llm.common import bound_batches, rowsum
 
 END = "</w>"
 #: Prefixes and words a task keeps before it starts anew: bounds memory, not the result.
-KEEP_PREFIXES = 400_000
-KEEP_WORDS = 300_000
+KEEP_PREFIXES = 600_000
+KEEP_WORDS = 600_000
 #: Unicode white space; Python's own class also holds four control characters that the library counts as symbols.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(f"([{_WHITE}]+)|[^{_WHITE}]+")
-_PLAIN = re.compile(r" ?([A-Za-z]+)([.,;:!?|]*)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Segments of Latin letters, symbols and white space, which need no Unicode normalisation and hold no contraction or special token.
+_PLAIN = re.compile(rf"[{_LETTERS}!#$%&()*+,./:;=?@^_`{{|}}~\[\]\" \t\n\r-]*")
+_PLAIN_WORDS = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS} \t\n\r]+")
 
 
 class PrefixCounts:
@@ -43,71 +45,97 @@ class PrefixCounts:
         import json
 
         self.t = tokenizer(path)
-        model = json.loads(self.t.to_str())["model"]
+        spec = json.loads(self.t.to_str())
+        model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
         self.inner = {x for x in model["vocab"] if not x.endswith(END)}
         self.final = {x[: -len(END)] for x in model["vocab"] if x.endswith(END) and x != END}
-        self.longest = max(map(len, self.inner | self.final))
-        self.special = [a["content"] for a in json.loads(self.t.to_str())["added_tokens"]]
-        self.known: dict[str, tuple[str, int, int]] = {"": ("", 0, 0)}
-        self.fits = lru_cache(400_000)(self._fits)
+        self.inner_sizes, self.final_sizes = self._sizes(self.inner), self._sizes(self.final)
+        self.special = [a["content"] for a in spec["added_tokens"]]
+        self.shown = {b: c for c, b in byte_of().items()}
+        self.latin = {i: "".join(self.shown[b] for b in chr(i).encode()) for i in range(128, 256)}
+        self.known: dict[str, tuple[str, int]] = {"": ("", 0)}
+        self.ends: dict[str, int] = {}
+        self.fit: dict[tuple[str, str, bool], bool] = {}
+
+    @staticmethod
+    def _sizes(tokens: set[str]) -> dict[str, list[int]]:
+        """Lengths of the tokens that end in each three characters, longest first."""
+        sizes: dict[str, set[int]] = {}
+        for t in tokens:
+            if len(t) >= 3:
+                sizes.setdefault(t[-3:], set()).add(len(t))
+        return {k: sorted(v, reverse=True) for k, v in sizes.items()}
 
     def merged(self, symbols: list[str]) -> list[str]:
-        """Plain BPE of a short sequence of symbols: the definition that fits() asks."""
-        symbols = list(symbols)
+        """Plain BPE of a short sequence of symbols: the definition behind fits()."""
+        symbols, rank = list(symbols), self.rank
         while len(symbols) > 1:
-            best, at = min((self.rank.get(p, 1 << 30), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-            if best == 1 << 30:
+            best, at = 1 << 30, -1
+            for i in range(len(symbols) - 1):
+                r = rank.get((symbols[i], symbols[i + 1]))
+                if r is not None and r < best:
+                    best, at = r, i
+            if at < 0:
                 break
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def _fits(self, left: str, right: str, ends: bool) -> bool:
+    def fits(self, left: str, right: str, ends: bool) -> bool:
         """Whether tokens left, right encode to themselves; ends: a word end follows right."""
-        tail = [*right[:-1], right[-1] + END] if ends else list(right)
-        return self.merged([*left, *tail]) == ([left] if left else []) + [right + END if ends else right]
-
-    def _step(self, p: str) -> tuple[str, int, int]:
-        """Last inner token, count without and count with the word end, of prefix p whose shorter prefixes are known."""
-        known, fits = self.known, self.fits
-        last, count, closed = "", 0, 0
-        for k in range(min(len(p), self.longest), 0, -1):
-            piece = p[-k:]
-            before = known[p[:-k]]
-            if not count and piece in self.inner and fits(before[0], piece, False):
-                last, count = piece, before[1] + 1
-            if not closed and piece in self.final and fits(before[0], piece, True):
-                closed = before[1] + 1
-            if count and closed:
-                break
-        if not (count and closed):
-            raise ValueError(f"the vocabulary does not cover {p!r}")
-        return last, count, closed
-
-    def word(self, w: str) -> list[int]:
-        """Counts with the word end at every prefix of w, a word in the vocabulary's own characters."""
+        key = (left, right, ends)
+        held = self.fit.get(key)
+        if held is None:
+            if len(self.fit) > KEEP_PREFIXES:
+                self.fit.clear()
+            tail = [*right[:-1], right[-1] + END] if ends else list(right)
+            held = self.fit[key] = self.merged([*left, *tail]) == ([left] if left else []) + [right + END if ends else right]
+        return held
+
+    def _last(self, p: str, ends: bool) -> tuple[str, int]:
+        """The last token of prefix p, whose shorter prefixes are known, and the number of tokens."""
+        known, tokens = self.known, self.final if ends else self.inner
+        n = len(p)
+        for k in (*(self.final_sizes if ends else self.inner_sizes).get(p[-3:], ()), 2, 1):
+            if k <= n:
+                piece = p[n - k :]
+                if piece in tokens:
+                    last, count = known[p[: n - k]]
+                    if self.fits(last, piece, ends):
+                        return piece, count + 1
+        raise ValueError(f"the vocabulary does not cover {p!r}")
+
+    def _reach(self, w: str) -> None:
+        """Make last token and count of every prefix of w known, from the longest one that is."""
         known = self.known
         if len(known) > KEEP_PREFIXES:
             known.clear()
-            known[""] = ("", 0, 0)
+            self.ends.clear()
+            known[""] = ("", 0)
         at = len(w)
         while w[:at] not in known:
             at -= 1
         for i in range(at + 1, len(w) + 1):
-            known[w[:i]] = self._step(w[:i])
-        return [known[w[:i]][2] for i in range(1, len(w) + 1)]
+            known[w[:i]] = self._last(w[:i], False)
 
     def count(self, w: str) -> int:
-        """word(w)[-1], without the list."""
-        if w in self.known:
-            return self.known[w][2]
-        return self.word(w)[-1]
+        """Tokens of word w with its word end; w in the vocabulary's own characters."""
+        n = self.ends.get(w)
+        if n is None:
+            self._reach(w[:-1])
+            n = self.ends[w] = self._last(w, True)[1]
+        return n
+
+    def word(self, w: str) -> list[int]:
+        """count() of every prefix of w, from the stored states of the shorter prefixes."""
+        return [self.count(w[:i]) for i in range(1, len(w) + 1)]
 
     def split(self, segment: str) -> list[str]:
         """The words of a segment, normalised and in the vocabulary's characters."""
-        if m := _PLAIN.fullmatch(segment):
-            return [m[1].lower(), m[2]] if m[2] else [m[1].lower()]
+        if _PLAIN.fullmatch(segment):
+            words = _PLAIN_WORDS.findall(segment.lower())
+            return words if segment.isascii() else [w.translate(self.latin) for w in words]
         return [w for w, _ in self.t.pre_tokenizer.pre_tokenize_str(self.t.normalizer.normalize_str(segment))]
 
     def segment(self, segment: str) -> int:
