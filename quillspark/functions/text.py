@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ TYPOGRAPHIC, STRAIGHT = "“”„«»‘’‚–—−   ", "\"\"\"\"\"''
 _EDGE = r"[\s.,;:!?\-–—\"'“”‘’()\[\]]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value evaluated once. Without it, an expression that names a value several times holds as many copies of it, and copies of copies."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents; ß as ss."""
     bare = F.translate(F.lower(text), ACCENTED, PLAIN)
@@ -64,10 +71,13 @@ def tokens(key: Column) -> Column:
 
 def overlap(left: Column, right: Column) -> Column:
     """Jaccard overlap of the words of two comparison keys; 0 if either has none."""
-    a, b = tokens(left), tokens(right)
-    union = F.size(F.array_union(a, b))
-    value = F.size(F.array_intersect(a, b)) / F.when(union > 0, union)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), value).otherwise(F.lit(0.0))
+
+    def share(p: Column) -> Column:
+        both = F.size(F.array_intersect(p["a"], p["b"]))
+        either = F.size(p["a"]) + F.size(p["b"]) - both
+        return F.when((F.size(p["a"]) > 0) & (F.size(p["b"]) > 0), both / F.nullif(either, F.lit(0))).otherwise(F.lit(0.0))
+
+    return let(F.struct(tokens(left).alias("a"), tokens(right).alias("b")), share)
 
 
 def sentences(text: Column) -> Column:

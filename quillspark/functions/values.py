@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import comparison_key, fold, normal
+from quillspark.functions.text import comparison_key, fold, let, normal
 
 #: Month names and their numbers.
 MONTHS = {
@@ -32,13 +32,15 @@ def plausible(year: Column, month: Column, day: Column) -> Column:
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def normal_date(text: Column) -> Column:
     """YYYY-MM-DD, YYYY-MM or YYYY, never more precise than the text; NULL if it has no date. The first rule that finds a plausible one wins."""
-    t = normal(text)
+    return let(normal(text), _date_of)
+
+
+def _date_of(t: Column) -> Column:
     num = lambda c: c.try_cast("int")
     month = lambda c: _lookup(MONTHS, fold(c))
     show = lambda y, m, d: F.format_string("%04d-%02d-%02d", y, m, d)
@@ -49,12 +51,12 @@ def normal_date(text: Column) -> Column:
     def full(pattern: str, y: int, m: int, d: int, named: bool) -> Column:
         year, day = num(_part(t, pattern, y)), num(_part(t, pattern, d))
         mon = month(_part(t, pattern, m)) if named else num(_part(t, pattern, m))
-        return F.when(plausible(year, mon, day), show(year, mon, day))
+        return let(F.struct(year.alias("y"), mon.alias("m"), day.alias("d")), lambda p: F.when(plausible(p["y"], p["m"], p["d"]), show(p["y"], p["m"], p["d"])))
 
     def monthly(pattern: str, y: int, m: int, named: bool) -> Column:
         year = num(_part(t, pattern, y))
         mon = month(_part(t, pattern, m)) if named else num(_part(t, pattern, m))
-        return F.when(mon.between(1, 12), F.format_string("%04d-%02d", year, mon))
+        return let(F.struct(year.alias("y"), mon.alias("m")), lambda p: F.when(p["m"].between(1, 12), F.format_string("%04d-%02d", p["y"], p["m"])))
 
     return F.coalesce(
         full(iso, 1, 2, 3, False),
@@ -70,14 +72,20 @@ def normal_date(text: Column) -> Column:
 
 def dates_conflict(left: Column, right: Column) -> Column:
     """Whether two normal dates differ at the precision they share."""
-    shared = F.least(F.length(left), F.length(right))
-    differ = F.left(left, shared) != F.left(right, shared)
-    return F.coalesce(differ & (left != "") & (right != ""), F.lit(False))
+
+    def clash(p: Column) -> Column:
+        shared = F.least(F.length(p["l"]), F.length(p["r"]))
+        return F.coalesce((F.left(p["l"], shared) != F.left(p["r"], shared)) & (p["l"] != "") & (p["r"] != ""), F.lit(False))
+
+    return let(F.struct(left.alias("l"), right.alias("r")), clash)
 
 
 def decimal(raw: Column) -> Column:
     """A number in either style of separators; NULL if it is none."""
-    text = F.replace(F.trim(raw), F.lit(" "), F.lit(""))
+    return let(F.replace(F.trim(raw), F.lit(" "), F.lit("")), _decimal_of)
+
+
+def _decimal_of(text: Column) -> Column:
     comma, dot = F.contains(text, F.lit(",")), F.contains(text, F.lit("."))
     drop = lambda c, s: F.replace(c, F.lit(s), F.lit(""))
     last = lambda s: F.length(F.substring_index(text, s, -1))
@@ -85,11 +93,15 @@ def decimal(raw: Column) -> Column:
     only_comma = F.when(last(",") <= 2, F.replace(text, F.lit(","), F.lit("."))).otherwise(drop(text, ","))
     only_dot = F.when((last(".") == 3) & (F.length(drop(text, ".")) > 3), drop(text, ".")).otherwise(text)
     plain = F.when(comma & dot, both).when(comma, only_comma).when(dot, only_dot).otherwise(text)
-    return F.when(plain.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
+    return let(plain, lambda p: F.when(p.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), p.try_cast("double")))
 
 
 def shown(value: Column) -> Column:
     """A whole number without a fraction, others with at most 10 significant digits."""
+    return let(value, _shown)
+
+
+def _shown(value: Column) -> Column:
     whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
     digits = F.greatest(F.lit(0), F.lit(9) - F.floor(F.log10(F.greatest(F.abs(value), F.lit(1e-300)))).cast("int"))
     fixed = F.format_string("%.10f", F.round(value, 10))
@@ -99,20 +111,28 @@ def shown(value: Column) -> Column:
 
 def normal_number(text: Column) -> Column:
     """A quantity with its unit: a percentage, else a currency amount, else a plain number; currencies are never converted."""
-    t = F.lower(normal(text))
+    return let(F.lower(normal(text)), _number_of)
+
+
+def _number_of(t: Column) -> Column:
     money, plain = r"(r\$|us\$|u\$s|\$|€|£|¥|brl|usd|eur|gbp)\s*(-?[\d.,]+)\s*([a-zçãõ]+)?", r"(-?[\d.,]+)\s*([a-zçãõ]+)?"
-    percent = decimal(_part(t, r"(-?[\d.,]+)\s*%", 1))
-    sign, amount, word = _part(t, money, 1), decimal(_part(t, money, 2)), comparison_key(_part(t, money, 3))
-    code = F.coalesce(_lookup(CURRENCIES, sign), F.upper(sign))
     times = lambda w: F.coalesce(_lookup(MULTIPLIERS, w), F.lit(1))
-    number, unit = decimal(_part(t, plain, 1)), comparison_key(_part(t, plain, 2))
-    with_unit = F.when(times(unit) > 1, shown(number * times(unit))).when(unit != "", F.concat_ws(" ", shown(number), unit)).otherwise(shown(number))
-    return F.coalesce(F.concat(shown(percent), F.lit("%")), F.when(amount.isNotNull(), F.concat_ws(" ", code, shown(amount * times(word)))), F.when(number.isNotNull(), with_unit))
+    percent = let(decimal(_part(t, r"(-?[\d.,]+)\s*%", 1)), lambda p: F.concat(shown(p), F.lit("%")))
+    amount = F.struct(_part(t, money, 1).alias("sign"), decimal(_part(t, money, 2)).alias("n"), comparison_key(_part(t, money, 3)).alias("word"))
+    code = lambda a: F.coalesce(_lookup(CURRENCIES, a["sign"]), F.upper(a["sign"]))
+    currency = let(amount, lambda a: F.when(a["n"].isNotNull(), F.concat_ws(" ", code(a), shown(a["n"] * times(a["word"])))))
+    counted = F.struct(decimal(_part(t, plain, 1)).alias("n"), comparison_key(_part(t, plain, 2)).alias("unit"))
+    kept = lambda c: (c["unit"] != "") & (times(c["unit"]) == 1)
+    number = let(counted, lambda c: F.when(c["n"].isNotNull(), F.concat_ws(" ", shown(c["n"] * times(c["unit"])), F.when(kept(c), c["unit"]))))
+    return F.coalesce(percent, currency, number)
 
 
 def unit_and_value(number: Column) -> Column:
     """struct(unit, value) of a normal number."""
-    t = F.trim(number)
+    return let(F.trim(number), _unit_of)
+
+
+def _unit_of(t: Column) -> Column:
     first, second = F.substring_index(t, " ", 1), F.when(F.contains(t, F.lit(" ")), F.substring(t, F.instr(t, " ") + 1, F.length(t)))
     code = first.rlike("^[A-Z]{3}$")
     unit = F.when(t.endswith("%"), F.lit("%")).when(second.isNull(), F.lit("")).when(code, first).otherwise(second)
@@ -122,13 +142,21 @@ def unit_and_value(number: Column) -> Column:
 
 def numbers_conflict(left: Column, right: Column) -> Column:
     """Whether two quantities of the same unit differ; different units never conflict."""
-    a, b = unit_and_value(left), unit_and_value(right)
-    differ = F.when(a["value"].isNull() | b["value"].isNull(), left != right).otherwise(F.abs(a["value"] - b["value"]) > 1e-9)
-    return F.coalesce((left != "") & (right != "") & (left != right) & (a["unit"] == b["unit"]) & differ, F.lit(False))
+    both = F.struct(left.alias("l"), right.alias("r"), unit_and_value(left).alias("a"), unit_and_value(right).alias("b"))
+
+    def clash(p: Column) -> Column:
+        differ = F.when(p["a"]["value"].isNull() | p["b"]["value"].isNull(), p["l"] != p["r"]).otherwise(F.abs(p["a"]["value"] - p["b"]["value"]) > 1e-9)
+        return F.coalesce((p["l"] != "") & (p["r"] != "") & (p["l"] != p["r"]) & (p["a"]["unit"] == p["b"]["unit"]) & differ, F.lit(False))
+
+    return let(both, clash)
 
 
 def instant(text: Column) -> Column:
     """ISO 8601 with any offset as a UTC time ending in Z, a time without offset as UTC; what is no time stays as it is."""
+    return let(text, _instant)
+
+
+def _instant(text: Column) -> Column:
     time = F.try_to_timestamp(F.regexp_replace(F.trim(text), "[Zz]$", "+00:00"))
     looks = F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:?\d{2}){0,2}([.,]\d+)?([Zz]|[+-]\d{2}(:?\d{2})?)?)?$")
     base = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")

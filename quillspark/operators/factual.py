@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import ids, values
 from quillspark.functions import lexicons as L
-from quillspark.functions.text import at_boundary, comparison_key, normal, overlap, sentences, tokens
+from quillspark.functions.text import at_boundary, comparison_key, let, normal, overlap, sentences, tokens
 
 TOPICAL, STRONG = 0.12, 0.55
 CRITICAL_LOCATIONS = ("title", "subtitle", "meta_description", "body:p1")
@@ -30,8 +30,7 @@ def material(text: Column) -> Column:
 
 def subject(sentence: Column) -> Column:
     """The run of proper names that a sentence starts with."""
-    found = normal(F.regexp_extract(sentence, SUBJECT, 1))
-    return F.when(found != "", found)
+    return F.nullif(normal(F.regexp_extract(sentence, SUBJECT, 1)), F.lit(""))
 
 
 def segments(drafts: DataFrame) -> DataFrame:
@@ -58,9 +57,9 @@ def claims(drafts: DataFrame, most: int = 100) -> DataFrame:
     numbers = F.transform(every(NUMBER), lambda m: row("NUMBER", "amount", values.normal_number(m), m))
     quotes = F.transform(every(QUOTE), lambda m: row("QUOTE", "quote", comparison_key(m), normal(m)))
     who = normal(F.regexp_extract("sentence", ATTRIBUTION, 1))
-    attributed = F.when(who != "", row("ATTRIBUTION", "attributed_to", comparison_key(who), who))
+    attributed = let(who, lambda w: F.when(w != "", row("ATTRIBUTION", "attributed_to", comparison_key(w), w)))
     hit = F.coalesce(*[F.when(F.col("folded").rlike(rf"\b{t}\b"), F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"))) for t, k, p in L.STATUS_TERMS])
-    status = F.when(hit.isNotNull(), row(hit["k"], hit["p"], hit["p"], F.col("sentence")))
+    status = let(hit, lambda h: F.when(h.isNotNull(), row(h["k"], h["p"], h["p"], F.col("sentence"))))
     found = F.filter(F.concat(dates, numbers, quotes, F.array_compact(F.array(attributed, status))), lambda c: c["value"].isNotNull() & (c["value"] != ""))
     flat = s.select("draft_id", "place", "nth", "location", "sentence", "subject", F.posexplode(found).alias("k", "c")).select("*", "c.*").drop("c")
     key = comparison_key(F.col("subject"))
@@ -98,7 +97,7 @@ def _listed(table: dict, value: Column, excerpt: Column, whole_word: bool) -> Co
 def relate(pairs: DataFrame) -> DataFrame:
     """Adds similarity and relation to pairs of claims and excerpts; pairs that are not about the same thing go. A contradiction outranks support."""
     c = F.col
-    similarity = overlap(comparison_key(c("display_text")), c("normalized_excerpt"))
+    similarity = let(comparison_key(c("display_text")), lambda k: overlap(k, c("normalized_excerpt")))
     about = (c("normalized_subject") != "") & F.contains(c("normalized_excerpt"), c("normalized_subject"))
     date, number = values.normal_date(c("excerpt")), values.normal_number(c("excerpt"))
     p = pairs.withColumns({"similarity": similarity, "_about": F.coalesce(about, F.lit(False)), "_date": date, "_number": number})
@@ -169,7 +168,7 @@ def conflicts(claim: DataFrame, link: DataFrame, excerpt: DataFrame) -> DataFram
     said = link.where("relation = 'CONTRADICTS'").join(excerpt.select("draft_id", "evidence_id", "excerpt", "normalized_excerpt"), ["draft_id", "evidence_id"]).join(m.select("draft_id", "claim_id", "claim_type", "value", "display_text", "normalized_subject"), ["draft_id", "claim_id"])
     theirs = F.when(F.col("claim_type").isin("DATE", "RELEASE"), values.normal_date(F.col("excerpt"))).when(F.col("claim_type") == "NUMBER", values.normal_number(F.col("excerpt"))).otherwise(F.left("normalized_excerpt", F.lit(80)))
     own = F.coalesce(F.when(F.col("value") != "", F.col("value")), F.col("display_text"))
-    one = said.groupBy("draft_id", "claim_id", "claim_type", "normalized_subject", own.alias("own")).agg(F.array_sort(F.collect_list(F.when(theirs != "", theirs))).alias("theirs"))
+    one = said.groupBy("draft_id", "claim_id", "claim_type", "normalized_subject", own.alias("own")).agg(F.array_sort(F.collect_list(F.nullif(theirs, F.lit("")))).alias("theirs"))
     one = one.select("draft_id", kind.alias("conflict_type"), F.col("normalized_subject").alias("subject"), F.concat(F.array("own"), "theirs").alias("values"), F.array("claim_id").alias("claim_ids"))
     every = two.unionByName(one).withColumn("conflict_id", ids.conflict_id(F.col("conflict_type"), F.col("subject"), F.col("values"), F.col("claim_ids")))
     return every.dropDuplicates(["draft_id", "conflict_id"])

@@ -97,8 +97,8 @@ def rules(policy: dict | None = None) -> dict[str, tuple[str, Column]]:
         "GATE_SINGLE_UNTRUSTED_SOURCE": (WARNING, single & ~trusted),
         "GATE_SOURCE_DIVERSITY_LOW": (WARNING, (n >= 2) & (F.size(domains) < int(t["min_distinct_source_domains"]))),
         "GATE_EXTRACTION_WARNINGS": (WARNING, partial & (good | blank)),
-        "GATE_EVIDENCE_MISSING": (WARNING, F.when(c("material").isNotNull(), (c("material") > 0) & (c("supporting_links") == 0)).otherwise(F.size(F.coalesce("evidence", F.array())) == 0)),
-        "GATE_EVIDENCE_CONFLICT": (WARNING, F.when(c("material").isNotNull(), (c("conflicting") > 0) | (c("conflicts") > 0)).otherwise(F.exists(F.coalesce("evidence", F.array().cast("array<struct<status:string>>")), lambda e: e["status"].isin("conflicting", "unsupported", "unverified")))),
+        "GATE_EVIDENCE_MISSING": (WARNING, F.when(c("material").isNotNull(), (c("material") > 0) & (c("supporting_links") == 0)).otherwise(F.coalesce(F.size("evidence"), F.lit(0)) <= 0)),
+        "GATE_EVIDENCE_CONFLICT": (WARNING, F.when(c("material").isNotNull(), (c("conflicting") > 0) | (c("conflicts") > 0)).otherwise(F.coalesce(F.exists("evidence", lambda e: F.coalesce(e["status"].isin("conflicting", "unsupported", "unverified"), F.lit(False))), F.lit(False)))),
         "GATE_FACTUAL_COVERAGE_LOW": (WARNING, F.coalesce(c("coverage_ratio") < float(t["min_coverage_ratio"]), F.lit(False))),
         "GATE_PARTIAL_SUPPORT_PRESENT": (WARNING, F.coalesce(c("partially_supported") > 0, F.lit(False))),
         "GATE_UNVERIFIED_CLAIMS_PRESENT": (WARNING, F.coalesce(c("unverified") > 0, F.lit(False))),
@@ -106,7 +106,7 @@ def rules(policy: dict | None = None) -> dict[str, tuple[str, Column]]:
         "GATE_CONTENT_TOO_THIN": (WARNING, words < floor),
         "GATE_MISSING_META_DESCRIPTION": (WARNING, _empty(meta)),
         "GATE_SUBTITLE_ISSUE": (WARNING, _empty(subtitle) | (F.lower(F.trim(subtitle)) == F.lower(F.trim(title))) | (~_empty(meta) & (F.lower(F.trim(subtitle)) == F.lower(F.trim(meta)))) | subtitle.rlike("<[a-zA-Z/][^>]*>")),
-        "GATE_UNVERIFIED_MEDIA": (WARNING, F.exists(F.coalesce("media_candidates", F.array().cast("array<struct<status:string>>")), lambda m: m["status"].eqNullSafe("unverified"))),
+        "GATE_UNVERIFIED_MEDIA": (WARNING, F.coalesce(F.exists("media_candidates", lambda m: m["status"].eqNullSafe("unverified")), F.lit(False))),
         "GATE_PROMPT_INJECTION_SIGNAL": (WARNING, injection_signals(plain(body), body, title, subtitle) >= int(t["prompt_injection_min_signals"])),
         "GATE_REVISION_GAP": (WARNING, F.exists(strings("warnings"), lambda w: F.contains(w, F.lit("REVISION_GAP")))),
         "GATE_TRUSTED_SINGLE_SOURCE": (INFO, single & trusted),
