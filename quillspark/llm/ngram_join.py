@@ -9,9 +9,11 @@ table, so passages that many documents share seldom stand in a prefix.
    one node from there on. The same pass fills the sketch.
 2. A second pass deals out prefix n-grams, packed by bucket. In a bucket, the
    nodes that share a prefix n-gram form a group named by its leader, the
-   smallest of them; n-grams with the same leader share one group, so a pair
+   smallest of them; n-grams with the same leader share one group, and nodes whose sizes differ too
+   much never do, so a pair
    that has to be compared meets in at least one group.
-3. Groups get the texts of their nodes. Groups of more than GROUP nodes are cut
+3. Groups get the texts of their nodes: first each node with one leader only, then
+   the groups whose nodes are not yet in one component. Groups of more than GROUP nodes are cut
    into blocks and every pair of blocks is a task of its own. Each task stores
    the sets in a radix trie, common n-grams first, and searches it for one set
    at a time: the overlap with a shared edge is counted once for all sets below
@@ -42,7 +44,8 @@ WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 80
 #: Counters of the document-frequency sketch, and the rows it travels in.
-SKETCH, BLOCKS = 1 << 20, 32
+SKETCH, BLOCKS = 1 << 24, 64
+_SHIFT = np.uint64(64 - 24)
 #: Nodes that meet in one task, at most about; larger groups are cut into blocks.
 GROUP = 1024
 #: Documents behind an n-gram, by the sketch, above which its bucket is split by pairs of salts.
@@ -125,8 +128,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             fresh = np.fromiter((x not in seen and not seen.add(x) for x in fp.tolist()), bool, rows)
             if len(seen) > 1_000_000:
                 seen.clear()
-            at = (values[np.repeat(fresh, n)] >> np.uint64(44)).astype(np.int64)
-            sketch += np.bincount(at, minlength=SKETCH).astype(np.uint32)
+            np.add.at(sketch, (values[np.repeat(fresh, n)] >> _SHIFT).astype(np.int64), np.uint32(1))
             nil = lambda t: pa.nulls(rows, t)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), b.column(0), pa.array(n, pa.int64()), pa.array(fp), nil(pa.int32()), nil(pa.binary())], ["kind", "id", "n", "fp", "block", "data"])
         if kind is not None:
@@ -142,18 +144,18 @@ def _levels(scanned: DataFrame) -> np.ndarray:
     """Quarter powers of two of the estimated document frequency, for every counter: SKETCH bytes on the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = _unzip(data, np.uint32).astype(np.uint64)
-                total[k] = total[k] + part if k in total else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_zip(x) for x in total.values()], pa.binary())], ["block", "sums"])
-
-    parts = scanned.where("kind = 1").select("block", "data").repartition(F.col("block")).mapInArrow(add, "block int, sums binary").collect()
-    out = np.zeros((BLOCKS, SKETCH // BLOCKS), np.uint64)
+        for t in _runs(batches, ["block"]):
+            total = np.zeros(SKETCH // BLOCKS, np.uint64)
+            for data in t.column("data").to_pylist():
+                total += _unzip(data, np.uint32)
+            level = np.minimum(np.round(4 * np.log2(1.0 + total)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([t.column("block").combine_chunks().slice(0, 1), pa.array([level.tobytes()], pa.binary())], ["block", "level"])
+
+    parts = scanned.where("kind = 1").select("block", "data").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, level binary").collect()
+    out = np.zeros((BLOCKS, SKETCH // BLOCKS), np.uint8)
     for r in parts:
-        out[r.block] += _unzip(r.sums, np.uint64)
-    return np.minimum(np.round(4 * np.log2(1.0 + out.reshape(-1))), 255).astype(np.uint8)
+        out[r.block] = np.frombuffer(r.level, np.uint8)
+    return out.reshape(-1)
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -163,17 +165,17 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 def _prefixes(docs: DataFrame, text_col: str, levels, buckets: int) -> DataFrame:
     """(bucket, data): packed pairs of 40-bit n-gram and node of all prefixes."""
 
-    def packed(token: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def packed(token: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((token, bucket))
-        token, node, bucket = token[order], node[order], bucket[order]
+        token, node, size, bucket = token[order], node[order], size[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         keys, data = [], []
         for k in range(buckets):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
-                names, idx = np.unique(node[a:b], return_inverse=True)
-                parts = [_zip(np.diff(token[a:b], prepend=np.uint64(0))), _zip(names), _zip(idx.astype(np.uint32))]
+                names, first, idx = np.unique(node[a:b], return_index=True, return_inverse=True)
+                parts = [_zip(np.diff(token[a:b], prepend=np.uint64(0))), _zip(names), _zip(size[a:b][first]), _zip(idx.astype(np.uint32))]
                 keys.append(k)
                 data.append(b"".join([np.array([len(p) for p in parts], np.uint32).tobytes(), *parts]))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
@@ -186,29 +188,30 @@ def _prefixes(docs: DataFrame, text_col: str, levels, buckets: int) -> DataFrame
             fresh = np.fromiter((x not in seen and not seen.add(x) for x in fp.tolist()), bool, len(fp)) & (n > 0)
             if len(seen) > 1_000_000:
                 seen.clear()
-            rank = level[(values >> np.uint64(44)).astype(np.int64)]
+            rank = level[(values >> _SHIFT).astype(np.int64)]
             own = owner(offsets)
             order = np.lexsort((values, rank, own))  # a row's values stay in its place, rare first
             place = np.arange(len(values)) - offsets[own]
             chosen = order[(place < prefix_length(n)[own]) & fresh[own]]
-            token, node, est = values[chosen] & np.uint64((1 << 40) - 1), fp[own[chosen]], 2.0 ** (rank[chosen] / 4.0)
+            token, node, size, est = values[chosen] & np.uint64((1 << 40) - 1), fp[own[chosen]], n[own[chosen]].astype(np.uint32), 2.0 ** (rank[chosen] / 4.0)
             hot = est > HOT
             if hot.any():
-                extra_t, extra_n = [], []
-                for t, x, e in zip(token[hot], node[hot], est[hot], strict=True):
+                extra_t, extra_n, extra_s = [], [], []
+                for t, x, z, e in zip(token[hot], node[hot], size[hot], est[hot], strict=True):
                     salts = int(np.ceil(e / HOT))
                     mine = int(mix(np.array([x]).view(np.uint64))[0] % np.uint64(salts))
                     pairs = np.array([[min(mine, j), max(mine, j)] for j in range(salts)], np.uint64)
                     extra_t.append(mix(t + (pairs[:, 0] << np.uint64(42)) + (pairs[:, 1] << np.uint64(53))) & np.uint64((1 << 40) - 1))
                     extra_n.append(np.full(salts, x))
-                token, node = np.concatenate((token[~hot], *extra_t)), np.concatenate((node[~hot], *extra_n))
-            held.append((token, node))
+                    extra_s.append(np.full(salts, z))
+                token, node, size = np.concatenate((token[~hot], *extra_t)), np.concatenate((node[~hot], *extra_n)), np.concatenate((size[~hot], *extra_s))
+            held.append((token, node, size))
             count += len(token)
             if count > PACK:
-                yield from packed(np.concatenate([t for t, _ in held]), np.concatenate([x for _, x in held]))
+                yield from packed(*map(np.concatenate, zip(*held, strict=True)))
                 held, count = [], 0
         if count:
-            yield from packed(np.concatenate([t for t, _ in held]), np.concatenate([x for _, x in held]))
+            yield from packed(*map(np.concatenate, zip(*held, strict=True)))
 
     return docs.select(text_col).mapInArrow(run, "bucket int, data binary")
 
@@ -236,16 +239,23 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 
 
 def _leaders(packed: DataFrame, buckets: int) -> DataFrame:
-    """(leader, node) of all groups of at least two nodes, the leader included."""
+    """(leader, node, rank of the leader) of all groups of at least two nodes, the leader included."""
 
     def one(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        tokens, nodes = [], []
+        tokens, nodes, sizes = [], [], []
         for data in parts:
-            a, b, c = np.frombuffer(data, np.uint32, 3).tolist()
-            names = _unzip(data[12 + a : 12 + a + b], np.int64)
-            tokens.append(np.cumsum(_unzip(data[12 : 12 + a], np.uint64), dtype=np.uint64))
-            nodes.append(names[_unzip(data[12 + a + b :], np.uint32)])
-        token, node = np.concatenate(tokens), np.concatenate(nodes)
+            at = np.cumsum([16, *np.frombuffer(data, np.uint32, 4).tolist()])
+            t, names, size, idx = (_unzip(data[i:j], k) for i, j, k in zip(at[:-1], at[1:], (np.uint64, np.int64, np.uint32, np.uint32), strict=True))
+            tokens.append(np.cumsum(t, dtype=np.uint64))
+            nodes.append(names[idx])
+            sizes.append(size[idx])
+        token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
+        _, inverse, counts = np.unique(token, return_inverse=True, return_counts=True)
+        shared = counts[inverse] > 1
+        token, node, size = inverse[shared], node[shared], size[shared]
+        # Similar sets are of one size class or of neighbouring ones, so every node stands in two of them.
+        size = np.floor(np.log(size) / np.log(100.01 / PERCENT)).astype(np.int64)
+        token, node = np.concatenate((token * 256 + size, token * 256 + size + 1)), np.concatenate((node, node))
         rank = mix(node.view(np.uint64))
         order = np.lexsort((rank, token))
         token, node = token[order], node[order]
@@ -261,10 +271,10 @@ def _leaders(packed: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["bucket"]):
             a, b = one(t.column("data").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["leader", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array((mix(a.view(np.uint64)) >> np.uint64(1)).astype(np.int64))], ["leader", "node", "rank"])
 
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "leader long, node long").distinct()
+    return dealt.mapInArrow(run, "leader long, node long, rank long").distinct()
 
 
 class Trie:
@@ -342,8 +352,11 @@ class Trie:
         return found
 
 
-def group_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect all sets of the group that similarities connect; within a component they form a tree."""
+def group_links(sets: list[np.ndarray], labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all sets of the group that similarities connect; within a component they form a tree.
+
+    Sets with the same label are known to be connected and are neither compared nor linked again.
+    """
     m = len(sets)
     if m < 2:
         return []
@@ -362,7 +375,13 @@ def group_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
-    links, waiting = [], {i: {i} for i in range(m)}  # sets that have not searched yet, by component
+    links: list[tuple[int, int]] = []
+    first: dict[int, int] = {}
+    for i, label in enumerate(labels or range(m)):
+        parent[i] = first.setdefault(label, i)
+    waiting: dict[int, set[int]] = {}  # sets that have not searched yet, by component
+    for i in range(m):
+        waiting.setdefault(root(i), set()).add(i)
     while len(waiting) > 1:
         # A pair in two components is still open only if neither has searched.
         at = min(waiting, key=lambda k: len(waiting[k]))
@@ -381,12 +400,12 @@ def group_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _grouped(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes, from groups (leader, node) and texts (fp, z)."""
+    """Links (a, b) between nodes, from groups (leader, node, label) and texts (fp, z)."""
     sizes = groups.groupBy("leader").agg(F.count("*").alias("size"))
     blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("size") / GROUP)).cast("int")
     cut = groups.join(sizes, "leader").withColumn("blocks", F.when(F.col("size") > GROUP, blocks).otherwise(1)).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("leader", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node")
-    rows = dealt.join(texts, F.col("node") == F.col("fp")).select("leader", "x", "y", "node", "z")
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("leader", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "label")
+    rows = dealt.join(texts.hint("merge"), F.col("node") == F.col("fp")).select("leader", "x", "y", "node", "label", "z")
     rows = rows.repartition("leader", "x", "y").sortWithinPartitions("leader", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +419,7 @@ def _grouped(groups: DataFrame, texts: DataFrame) -> DataFrame:
             for i in range(0, len(texts), 256):
                 values, offsets = shingle_sets(pa.array(texts[i : i + 256], pa.binary()).cast(pa.string()))
                 sets += np.split(values, offsets[1:-1])
-            links = group_links(sets)
+            links = group_links(sets, t.column("label").take(pa.array(first)).to_pylist())
             if links:
                 at = np.array(links)
                 yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], ["a", "b"])
@@ -436,8 +455,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     total = scanned.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - PERCENT) / 100 / BUCKET) + 1)
     groups = written(_leaders(_prefixes(docs, text_col, levels, buckets), buckets), "groups")
-    links = written(_grouped(groups, _texts(docs, text_col)), "joined")
+    # Merge joins by name: whether a side could be broadcast at one size says nothing of the next.
+    texts = written(_texts(docs, text_col).join(groups.select(F.col("node").alias("fp")).distinct().hint("merge"), "fp", "left_semi"), "candidates")
+    # First every node with its most general leader alone, which links most of what will be linked.
+    own = groups.groupBy("node").agg(F.min_by("leader", "rank").alias("leader")).withColumn("label", F.col("node"))
+    links = written(_grouped(own, texts), "joined")
     labels = components(links)
+    # Then the groups that still hold nodes of different components: all others have nothing left to compare.
+    known = groups.select("leader", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = known.groupBy("leader").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("leader")
+    more = written(_grouped(known.join(several, "leader", "left_semi"), texts), "joined")
+    labels = components(links.union(more))
     rows = scanned.where("kind = 0").select("id", "n", "fp")
     sets = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
     named = sets.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
