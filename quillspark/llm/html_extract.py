@@ -52,7 +52,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 
 #: Weights by place, as log odds; used as they are where no page is labelled.
-FALLBACK = {"w:junk": -3.0, "w:link": -0.5, "w:heading": 0.6, "w:p": 1.0, "w:other": 0.2, "t:junk": -6.0, "t:a": -2.0, "t:li": -1.5, "t:p": -0.5, "t:inline": -0.5, "t:heading": -1.0, "t:block": -2.0}
+FALLBACK = {"w:junk": -3.0, "w:link": -0.5, "w:heading": 1.0, "w:p": 1.0, "w:other": 0.2, "t:junk": -6.0, "t:a": -2.0, "t:li": -1.5, "t:p": -0.5, "t:inline": -0.5, "t:heading": -0.2, "t:block": -2.0}
 
 
 def _is_junk(tag: str, attrs: str) -> bool:

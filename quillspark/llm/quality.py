@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillspark.llm.common import bound_batches, coded, owner, rowsum, split_words, written
 from quillspark.llm.weak import ABSTAIN, AGAINST, FOR, Reliability, estimate
@@ -138,9 +139,7 @@ def keep(docs: DataFrame, text_col: str = "text", prior: float = 0.85) -> DataFr
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, pa.int64()) for x in _features(b.column(at))]], [*own, *COUNTS])
 
-    schema = plain.schema
-    for c in COUNTS:
-        schema = schema.add(c, "long")
+    schema = StructType([*plain.schema.fields, *[StructField(c, LongType()) for c in COUNTS]])
     judged = plain.mapInArrow(run, schema).withColumns(rules)
     return judged.where(~_base_failed() & (_odds(fitted, names) >= 0)).select(*[F.col(c).alias(n) for c, n in zip(own, docs.columns, strict=True)])
 
