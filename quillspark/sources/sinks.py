@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,14 @@ def draft_status(df: DataFrame, before: DataFrame, key: str = "draft_id", digest
 
 
 def submit_drafts(df: DataFrame, path: str, key: str = "draft_id", digest: str = "output_hash") -> DataFrame:
-    """Write new drafts, put conflicting ones beside, leave unchanged ones; returns the statuses."""
-    judged = draft_status(df, stored(df.sparkSession, f"{path}/drafts", df), key, digest).persist()
+    """Write new drafts, put conflicting ones beside, leave unchanged ones; returns the statuses.
+
+    The decisions are written first and everything else follows from what was written, so no later read can decide differently.
+    """
+    spark = df.sparkSession
+    batch = f"{path}/submissions/{uuid.uuid4().hex}"
+    draft_status(df, stored(spark, f"{path}/drafts", df), key, digest).write.parquet(batch)
+    judged = spark.read.parquet(batch)
     judged.where("submission = 'WRITTEN'").drop("submission").write.mode("append").parquet(f"{path}/drafts")
     judged.where("submission = 'CONFLICT'").drop("submission").write.mode("append").parquet(f"{path}/conflicts")
     return judged.select(key, "submission")
