@@ -163,13 +163,13 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.where(ratio >= 0.2).select("a", "b", F.round(ratio, 6).alias("overlap"))
 
 
-@query(f"""
-select doc_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i and length(x) <= 60), 1, 12), ',') as tags from (
- select doc_id, list_filter(list_transform(list_slice(string_split_regex(text, '\\s+'), 1, 30), lambda x: lower(trim(x))), lambda x: x <> '') as l from documents)
+@query("""
+select item_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i and length(x) <= 60), 1, 12), ',') as tags from (
+ select item_id, list_filter(list_transform(string_split_regex(text, '\\s+'), lambda x: lower(trim(x))), lambda x: x <> '') as l from benchmark)
 """)
 def tags_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.slice(F.split("text", r"\s+"), 1, 30), lambda x: F.lower(F.trim(x))).alias("l"))
-    return d.select("doc_id", F.array_join(text.tags(F.col("l")), ",").alias("tags"))
+    d = table(spark, sf_dir, "benchmark").select("item_id", F.transform(F.split("text", r"\s+"), lambda x: F.lower(F.trim(x))).alias("l"))
+    return d.select("item_id", F.array_join(text.tags(F.col("l")), ",").alias("tags"))
 
 
 # --- policies --------------------------------------------------------------
@@ -411,12 +411,12 @@ def circuit_breaker_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 select o_orderkey, n as attempt, case when n = 1 then 0.0 else round(least(least(2.0 * pow(2, n - 2), 60) + least(2.0 * pow(2, n - 2), 60) * 0.25 * cast(('0x' || left(sha256('k' || o_orderkey || '|' || n), 8)) as bigint) / 4294967295.0, 60), 6) end as delay
-from (select o_orderkey, unnest([1, 2, 3, 4, 5, 6, 7]) as n from orders where o_orderkey % 10 = 0)
+from (select o_orderkey, unnest([1, 2, 3, 4, 5, 6, 7]) as n from orders)
 """)
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.operators import delivery
 
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     seed = F.concat(F.lit("k"), F.col("o_orderkey").cast("string"))
     tries = o.select("o_orderkey", seed.alias("seed"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("attempt"))
     return tries.select("o_orderkey", "attempt", delivery.delay(F.col("attempt"), F.col("seed")).alias("delay"))
@@ -427,6 +427,117 @@ def retention_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.newest(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.desc("o_orderkey")], 200)
 
 
+# --- facts, verdicts and findings ------------------------------------------
+
+
+@query("""
+select lang as draft_id, count(*) as material, count(*) filter (where s = 'SUPPORTED') as supported, count(*) filter (where s = 'PARTIALLY_SUPPORTED') as partially_supported, count(*) filter (where s = 'UNSUPPORTED') as unsupported,
+ round_even((count(*) filter (where s = 'SUPPORTED') + 0.5 * count(*) filter (where s = 'PARTIALLY_SUPPORTED')) / count(*), 6)::double as coverage_ratio
+from (select lang, case when toxic = 1 then 'PARTIALLY_SUPPORTED' when quality = 1 then 'SUPPORTED' else 'UNSUPPORTED' end as s from documents join labels using (doc_id)) group by 1
+""")
+def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.operators import factual
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("draft_id")).join(table(spark, sf_dir, "labels"), "doc_id")
+    status = F.when(F.col("toxic") == 1, "PARTIALLY_SUPPORTED").when(F.col("quality") == 1, "SUPPORTED").otherwise("UNSUPPORTED")
+    c = factual.coverage(d.select("draft_id", status.alias("status"), F.lit(True).alias("is_material")))
+    return c.select("draft_id", "material", "supported", "partially_supported", "unsupported", "coverage_ratio")
+
+
+@query("""
+select outcome, count(*) as n from (select case when quality = 0 and toxic = 1 then 'BLOCKED' when quality = 0 or toxic = 1 then 'REVIEW_REQUIRED' else 'CLEAR' end as outcome from labels) group by 1
+""")
+def gate_outcome_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.operators import gate
+
+    q, t = F.col("quality") == 0, F.col("toxic") == 1
+    fired = F.array_compact(F.array(F.when(q & t, gate.BLOCKING), F.when(q | t, gate.WARNING), F.lit(gate.INFO)))
+    return table(spark, sf_dir, "labels").groupBy(gate.outcome(fired).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("""
+select p_brand, p_partkey from (select p_brand, p_partkey, row_number() over (partition by p_brand order by case when p_size = 1 then 0 else 1 end, p_partkey desc) rn from part where p_size in (1, 2)) where rn <= 5
+""")
+def related_with_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size")
+    return state.backfilled(p, F.col("p_size") == 1, F.col("p_size") == 2, "p_partkey", [F.desc("p_partkey")], 5, ["p_brand"]).select("p_brand", "p_partkey")
+
+
+def _cta_sql() -> str:
+    from quillspark.operators import qa
+
+    rules = [f"when contains(k, '{a}') and contains(k, '{b}') then '{a} + {b}'" for a, b in qa.CTA_SEQUENCES] + [f"when contains(k, '{p}') then '{p}'" for p in qa.CTA_PHRASES]
+    return f"select cta, count(*) as n from (select case {' '.join(rules)} end as cta from (select {d_paragraph('text')} as k from (select text from documents union all select text from conversations))) group by 1"
+
+
+@query(_cta_sql())
+def cta_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.operators import qa
+
+    every = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
+    keyed = every.select(qa.cta_key(F.col("text")).alias("k"))
+    return keyed.groupBy(qa.cta(F.col("k")).alias("cta")).agg(F.count("*").alias("n"))
+
+
+@query("""
+with w as (select p_partkey, p_name, unnest(list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: length(x) >= 3))) as word from part),
+l as (select distinct p_type, unnest(list_distinct(list_filter(regexp_extract_all(lower(p_type), '[a-z0-9]+'), lambda x: length(x) >= 3))) as word from part),
+s as (select p_partkey as id, p_type as url, count(*) as score from w join l using (word) group by 1, 2)
+select id, url, score from (select *, row_number() over (partition by id order by score desc, url) rn from s) where rn <= 6
+""")
+def link_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.operators import qa
+
+    p = table(spark, sf_dir, "part")
+    types = p.select(F.col("p_type").alias("url"), F.col("p_type").alias("title"), F.lit("").alias("keywords")).distinct()
+    return qa.internal_links(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), types, []).select("id", "url", "score")
+
+
+def _documents_as_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("draft_id"), F.struct(none.alias("title"), F.col("text").alias("body_html"), none.alias("subtitle"), none.alias("summary"), none.alias("meta_description")).alias("content"))
+
+
+@query()
+def claim_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.operators import factual
+
+    return factual.claims(_documents_as_drafts(spark, sf_dir)).groupBy("claim_type").agg(F.count("*").alias("n"))
+
+
+@query()
+def prompt_injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.operators import gate
+
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("role").agg(F.sum(gate.injection_signals(F.col("text"))).alias("signals"), F.count("*").alias("n"))
+
+
+@query()
+def title_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.operators import qa
+
+    t = F.col("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", qa.title_score(t).alias("score"), qa.title_findings(t)["status"].alias("status"), qa.keyword(t).alias("keyword"))
+
+
+@query()
+def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.functions import html
+
+    o = table(spark, sf_dir, "pages").select("page_id", html.outline(F.col("html")).alias("o"), html.visible_text(F.col("html")).alias("t"))
+    return o.select("page_id", F.size("o.links").alias("links"), F.size("o.headings").alias("headings"), F.size("o.images").alias("images"), text.words(F.col("t")).alias("words"))
+
+
+@query(f"select page_id, regexp_matches(html, '(?i)<\\s*script\\b') as script, regexp_matches(html, '(?i)<\\s*form\\b') as form from pages")
+def unsafe_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.operators import gate
+
+    found = gate.unsafe_signals(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_contains(found, "tag <script>").alias("script"), F.array_contains(found, "tag <form>").alias("form"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages against the richer half of the pages: why each is covered, how usable its text is, and what the entry policy says, counted."""
     items, covering = _cascade(spark, sf_dir)

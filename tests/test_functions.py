@@ -124,3 +124,13 @@ def test_similarity_and_html(one):
     assert one(html.truncate_visible(8), "<p>um <b>dois tres</b></p><p>x</p>").startswith("<p>um <b>dois") and one(html.truncate_visible(8), "<p>a</p>") == "<p>a</p>"
     o = one(html.outline, '<h2>T</h2><img src="a"><img src="b"><p>x</p><a href="/l">l</a>')
     assert o["links"] == ["/l"] and o["headings"][0]["text"] == "T" and o["stacked_images"]
+
+
+def test_cleaners(spark):
+    from quillspark.functions import cleaners
+
+    page = '<body><nav>m</nav><div class="article-body"><p>One <b>two</b></p><div class="widget"><p>no</p></div><aside>no</aside><script>no</script><p>Three &amp; four</p></div><p>out</p></body>'
+    rows = spark.createDataFrame([("www.collider.com", page), ("x.lance.com.br", page.replace('div class="article-body"', "article")), ("other.com", page)], "h string, p string")
+    got = [r.v for r in rows.select(cleaners.clean_page("h", "p").alias("v")).collect()]
+    assert got[0].count("<p>") == 2 and "no" not in got[0] and "out" not in got[0] and "Three &amp; four" in got[0]
+    assert "<div" not in got[1] and "One" in got[1] and got[2] is None
