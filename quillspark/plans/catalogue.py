@@ -163,6 +163,29 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.where(ratio >= 0.2).select("a", "b", F.round(ratio, 6).alias("overlap"))
 
 
+@query(f"""
+with b as (select item_id, list_distinct(list_filter(string_split({d_paragraph('text')}, ' '), lambda x: x <> '')) as u from benchmark),
+d as (select doc_id, list_distinct(list_filter(string_split({d_paragraph('text')}, ' '), lambda x: x <> '')) as t from documents),
+p as (select doc_id, item_id, len(t) as n, len(u) as k, len(list_intersect(t, u)) as m from d cross join b where len(t) > 0 and len(u) > 0)
+select doc_id, item_id, round(m / (n + k - m), 6) as overlap, round(m / k, 6) as held from p where 5 * m >= n + k - m or 5 * m >= 4 * k
+""")
+def token_overlap_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against benchmark items: all pairs with an overlap of 0.2, or with 0.8 of the item's words in the document.
+
+    Either needs a fifth of the item's words, so pairs meet on one of its rarest words, all but a fifth of them less one.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(text.paragraph_key(F.col("text"))).alias("t"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", text.tokens(text.paragraph_key(F.col("text"))).alias("u"))
+    words = b.select("item_id", F.size("u").alias("k"), F.explode("u").alias("w")).withColumn("items", F.count("*").over(Window.partitionBy("w")))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("items", "w"))
+    rare = words.withColumn("r", rank).where("r <= k - (k + 4) div 5 + 1").select("item_id", "w")
+    near = d.select("doc_id", F.explode("t").alias("w")).join(rare, "w").select("doc_id", "item_id").distinct()
+    pairs = near.join(d, "doc_id").join(b, "item_id").select("doc_id", "item_id", F.size("t").alias("n"), F.size("u").alias("k"), F.size(F.array_intersect("t", "u")).alias("m"))
+    either = F.col("n") + F.col("k") - F.col("m")
+    found = pairs.where((5 * F.col("m") >= either) | (5 * F.col("m") >= 4 * F.col("k")))
+    return found.select("doc_id", "item_id", F.round(F.col("m") / either, 6).alias("overlap"), F.round(F.col("m") / F.col("k"), 6).alias("held"))
+
+
 @query("""
 select item_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i and length(x) <= 60), 1, 12), ',') as tags from (
  select item_id, list_filter(list_transform(string_split_regex(text, '\\s+'), lambda x: lower(trim(x))), lambda x: x <> '') as l from benchmark)
