@@ -70,6 +70,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            for own in [x for x in _written if x[1].split(":", 1)[-1].lstrip("/") == path.split(":", 1)[-1].lstrip("/")]:
+                _written.remove(own)
+                hadoop = own[0].sparkContext._jvm.org.apache.hadoop.fs.Path(own[1])
+                hadoop.getFileSystem(own[0].sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def slices(batches, col: int, size: int = 6_000_000):
+    """The batches, cut so that a column of texts has at most about `size` bytes in each; a longer text stands alone."""
+    for b in batches:
+        lens = np.asarray(pc.fill_null(pc.binary_length(b.column(col)), 0), np.int64)
+        if lens.sum() <= size:
+            yield b
+            continue
+        a, total = 0, 0
+        for i, n in enumerate(lens.tolist()):
+            if i > a and total + n > size:
+                yield b.slice(a, i - a)
+                a, total = i, 0
+            total += n
+        yield b.slice(a)
+
+
 def split_words(text: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """Words of every text (nulls have none) as one flat array, and the offsets of each text in it."""
     if isinstance(text, pa.ChunkedArray):
