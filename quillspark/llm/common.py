@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,3 +155,40 @@ def hash_words(distinct: pa.Array) -> np.ndarray:
 def fold(id_col: str, n: int):
     """crc32 of the id as decimal text, modulo n."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
+
+
+def zipped(x: np.ndarray) -> bytes:
+    """A numeric array with its bytes grouped by significance, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def unzipped(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind) if len(raw) else np.zeros(0, kind)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of equal keys, which come one after the other, as one table each; only one group is held."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        cols = [b.column(k).to_pylist() for k in keys]
+        rows = list(zip(*cols, strict=True))
+        start = 0
+        for i in range(1, len(rows) + 1):
+            if i == len(rows) or rows[i] != rows[start]:
+                if held and rows[start] != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                last = rows[start]
+                held.append(b.slice(start, i - start))
+                start = i
+    if held:
+        yield pa.Table.from_batches(held)

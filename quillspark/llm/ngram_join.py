@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bound_batches, coded, hash_words, mix, owner, split_words, written
+from quillspark.llm.common import bound_batches, coded, hash_words, mix, owner, runs, split_words, unzipped, written, zipped
 from quillspark.llm.components import components
 
 WORDS = 5
@@ -101,21 +101,6 @@ def fingerprints(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)), np.uint64, len(at) - 1).view(np.int64)
 
 
-def _zip(x: np.ndarray) -> bytes:
-    """A numeric array with its bytes grouped by significance, compressed."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
-
-
-def _unzip(data: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    width = np.dtype(kind).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind) if len(raw) else np.zeros(0, kind)
-
-
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of kind 0 (id, n, fp), and of kind 1 (block, data): parts of the task's sketch."""
 
@@ -132,7 +117,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             nil = lambda t: pa.nulls(rows, t)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), b.column(0), pa.array(n, pa.int64()), pa.array(fp), nil(pa.int32()), nil(pa.binary())], ["kind", "id", "n", "fp", "block", "data"])
         if kind is not None:
-            parts = [_zip(x) for x in np.split(sketch, BLOCKS)]
+            parts = [zipped(x) for x in np.split(sketch, BLOCKS)]
             nil = lambda t: pa.nulls(BLOCKS, t)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(BLOCKS, np.int32)), nil(kind), nil(pa.int64()), nil(pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["kind", "id", "n", "fp", "block", "data"])
 
@@ -144,10 +129,10 @@ def _levels(scanned: DataFrame) -> np.ndarray:
     """Quarter powers of two of the estimated document frequency, for every counter: SKETCH bytes on the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["block"]):
+        for t in runs(batches, ["block"]):
             total = np.zeros(SKETCH // BLOCKS, np.uint64)
             for data in t.column("data").to_pylist():
-                total += _unzip(data, np.uint32)
+                total += unzipped(data, np.uint32)
             level = np.minimum(np.round(4 * np.log2(1.0 + total)), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([t.column("block").combine_chunks().slice(0, 1), pa.array([level.tobytes()], pa.binary())], ["block", "level"])
 
@@ -175,7 +160,7 @@ def _prefixes(docs: DataFrame, text_col: str, levels, buckets: int) -> DataFrame
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 names, first, idx = np.unique(node[a:b], return_index=True, return_inverse=True)
-                parts = [_zip(np.diff(token[a:b], prepend=np.uint64(0))), _zip(names), _zip(size[a:b][first]), _zip(idx.astype(np.uint32))]
+                parts = [zipped(np.diff(token[a:b], prepend=np.uint64(0))), zipped(names), zipped(size[a:b][first]), zipped(idx.astype(np.uint32))]
                 keys.append(k)
                 data.append(b"".join([np.array([len(p) for p in parts], np.uint32).tobytes(), *parts]))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
@@ -216,28 +201,6 @@ def _prefixes(docs: DataFrame, text_col: str, levels, buckets: int) -> DataFrame
     return docs.select(text_col).mapInArrow(run, "bucket int, data binary")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows of equal keys, which come one after the other, as one table each; only one group is held."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not len(b):
-            continue
-        cols = [b.column(k).to_pylist() for k in keys]
-        rows = list(zip(*cols, strict=True))
-        start = 0
-        for i in range(1, len(rows) + 1):
-            if i == len(rows) or rows[i] != rows[start]:
-                if held and rows[start] != last:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                last = rows[start]
-                held.append(b.slice(start, i - start))
-                start = i
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _leaders(packed: DataFrame, buckets: int) -> DataFrame:
     """(leader, node, rank of the leader) of all groups of at least two nodes, the leader included."""
 
@@ -245,7 +208,7 @@ def _leaders(packed: DataFrame, buckets: int) -> DataFrame:
         tokens, nodes, sizes = [], [], []
         for data in parts:
             at = np.cumsum([16, *np.frombuffer(data, np.uint32, 4).tolist()])
-            t, names, size, idx = (_unzip(data[i:j], k) for i, j, k in zip(at[:-1], at[1:], (np.uint64, np.int64, np.uint32, np.uint32), strict=True))
+            t, names, size, idx = (unzipped(data[i:j], k) for i, j, k in zip(at[:-1], at[1:], (np.uint64, np.int64, np.uint32, np.uint32), strict=True))
             tokens.append(np.cumsum(t, dtype=np.uint64))
             nodes.append(names[idx])
             sizes.append(size[idx])
@@ -269,7 +232,7 @@ def _leaders(packed: DataFrame, buckets: int) -> DataFrame:
         return np.concatenate((pair[:, 0], heads)), np.concatenate((pair[:, 1], heads))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["bucket"]):
+        for t in runs(batches, ["bucket"]):
             a, b = one(t.column("data").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array((mix(a.view(np.uint64)) >> np.uint64(1)).astype(np.int64))], ["leader", "node", "rank"])
 
@@ -412,7 +375,7 @@ def _grouped(groups: DataFrame, texts: DataFrame) -> DataFrame:
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
-        for t in _runs(batches, ["leader", "x", "y"]):
+        for t in runs(batches, ["leader", "x", "y"]):
             node, first = np.unique(t.column("node").to_numpy(), return_index=True)
             texts = [unzip.decompress(z) for z in t.column("z").take(pa.array(first)).to_pylist()]
             sets: list[np.ndarray] = []
