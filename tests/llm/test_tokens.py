@@ -17,7 +17,8 @@ def texts():
     rng = random.Random(5)
     made = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
     made += [" ".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
-    return [None, "", " ", "\n", "a " * 30000, "x" * 20000, *made, *made[:20]]
+    long = ["xyzzy" * 200_000, "<|startoftext|>" * 10_000, "!" * 50_000 + "<|endoftext|>", "a\nb\n\nc \n d " * 2000]
+    return [None, "", " ", "\n", "a " * 30000, "x" * 20000, *long, *made, *made[:20]]
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +38,12 @@ def test_digests_equal_the_library(docs):
         assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_a_distinct_word_is_encoded_once(spark, docs):
+    packs = bpe._packs(docs.repartition(3), 5, "doc_id", "text").cache()
+    met = [(r.bucket, w) for r in packs.where("bucket is not null").collect() for w in bpe._from_strings(bpe._parts(bytes(r.data), 2)[1]).to_pylist()]
+    assert len({w for _, w in met}) == len(set(met)) < len(met)
+
+
 def test_round_trip_and_empty_table(spark, docs):
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs, BYTE), BYTE).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts())}
@@ -50,12 +57,26 @@ def test_counts_equal_the_library(docs):
         assert got[i].n_tokens == len(t.encode(text or "", add_special_tokens=False).ids), text
         assert got[i].n_bytes == len((text or "").encode())
         assert got[i].over_limit == (got[i].n_tokens > 2048)
+        assert got[i].over_limit or got[i].fit_chars == len(text or "")
+
+
+def test_longest_prefix_within_a_limit(spark):
+    t, some = Tokenizer.from_file(WORD), [x for x in texts() if x and len(x) < 60][::7]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    for limit in (1, 3, 8):
+        for r in token_counts.prefix_counts(docs, WORD, limit).collect():
+            counts = [len(t.encode(some[r.doc_id][:i], add_special_tokens=False).ids) for i in range(len(some[r.doc_id]) + 1)]
+            assert r.fit_chars == max(i for i, n in enumerate(counts) if n <= limit), some[r.doc_id]
+            assert (r.prefix_tokens or [0])[-1] == counts[-1]
 
 
 def test_every_prefix_and_truncation():
     t, counts = Tokenizer.from_file(WORD), token_counts.PrefixCounts(WORD)
     for text in [x for x in texts() if x and len(x) < 60][::9]:
         assert counts.text(text) == [len(t.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)], text
+    word = "x" * 200_000 + "y<|endoftext|>!"
+    at = counts.text(word)
+    assert len(at) == len(word) + 1 and all(at[i] == len(t.encode(word[:i], add_special_tokens=False).ids) for i in (0, 1, 77, 5000, *range(200_000, len(word) + 1)))
     cut = counts.truncate("the unbelievable strangeness of tokenisation", 4)
     assert len(t.encode(cut, add_special_tokens=False).ids) <= 4
 
