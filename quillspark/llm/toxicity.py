@@ -7,10 +7,19 @@ terms, so that an insult together with a group mention can weigh more than both.
 It is fitted on the driver by AdaGrad on a bounded sample of labelled rows
 (MAX_TRAIN, a hash order of ids); every text is scored whole.
 
+Terms are screened before the fit, in Spark: a term stays if its presence depends
+on the label, among all rows of the sample or among those that hold a term of
+toxic rows. The second screen keeps terms that say nothing alone but do so beside
+an insult; a pair of which neither term depends on the label in either way is not
+seen. Only counts by term and the rows' screened terms reach the driver, at most
+KEPT bits a row, however long the texts are.
+
 Edge cases: a null or empty text has no terms and gets the bias as its score;
 without labelled rows the score is 0.5 less a hair, so nothing is predicted
-toxic; repeated ids are scored each; an empty table gives an empty table; extra
-columns are ignored.
+toxic; rows with a null id or label are not learned from; an id with several labels
+or rows is learned from as often; ties between terms go to the smaller bucket;
+repeated ids are scored each; an empty table gives an empty table; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +33,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bound_batches, coded, fold, hash_words, owner, split_words
+from quillspark.llm.common import bound_batches, coded, fold, hash_words, owner, slices, split_words, written
 
 BUCKETS = 1 << 18
 FACTORS = 4
 #: Labelled rows that the machine is fitted on, at most.
 MAX_TRAIN = 10_000
-#: Terms that the machine uses, at most, and the dependence on the label that a term must show.
+#: Terms that each screen keeps, at most, and the dependence on the label that a term must show.
 KEPT, CHI2 = 1024, 12.0
+#: Terms of toxic rows beside which others are looked at again.
+ANCHORS = 64
 PREFIXES = (3, 4, 5, 6)
 TERMS = 1 + len(PREFIXES)
 
@@ -72,44 +83,81 @@ def terms(words: pa.Array) -> np.ndarray:
 
 def train_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, text_col: str) -> DataFrame:
     """(y, terms) of a sample of at most about MAX_TRAIN labelled rows; only their ids are broadcast."""
-    usable = labels.where(F.col(label_col).isNotNull() & (fold(id_col, 5) != 0)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, 5) != 0)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     n = usable.count()
     share = int(min(1.0, MAX_TRAIN / max(n, 1)) * 1_000_000)
     picked = usable.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1_000_000)) < share).limit(2 * MAX_TRAIN)
+    texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             row, word, words = _words(b.column(1))
-            at = terms(words)[word].ravel() if len(word) else np.zeros(0, np.int32)
-            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(b)) * TERMS)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at))], ["y", "terms"])
+            at = terms(words)[word] if len(word) else np.zeros((0, TERMS), np.int32)
+            seen = np.unique(np.repeat(row, TERMS) * BUCKETS + at.ravel())
+            ends = np.concatenate(([0], np.cumsum(np.bincount(seen // BUCKETS, minlength=len(b)))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((seen % BUCKETS).astype(np.int32)))], ["y", "terms"])
+
+    return texts.join(F.broadcast(picked), F.col("_own") == F.col("_id")).select("_y", "_text").mapInArrow(run, "y int, terms array<int>")
+
+
+def screen(rows: DataFrame) -> list[tuple[int, bool]]:
+    """Terms whose presence depends on the label, and whether toxic rows hold them more: the KEPT with the largest chi-square at or above CHI2."""
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
+    n, pos = float(total.n), float(total.pos)
+    if pos in (0.0, n):
+        return []
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, a = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            col, toxic = b.column(1), b.column(0).to_numpy() > 0
+            t = col.flatten().to_numpy()
+            m += np.bincount(t, minlength=BUCKETS)
+            a += np.bincount(t[toxic[np.asarray(pc.list_parent_indices(col), np.int64)]], minlength=BUCKETS)
+        at = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(m[at]), pa.array(a[at])], ["term", "m", "a"])
 
-    return docs.join(F.broadcast(picked), docs[id_col] == F.col("_id")).select("_y", text_col).mapInArrow(run, "y int, terms array<int>")
+    counts = rows.mapInArrow(count, "term int, m long, a long").groupBy("term").agg(F.sum("m").alias("m"), F.sum("a").alias("a")).where("m >= 3")
+    expected = F.col("m") * (pos / n)
+    spread = F.col("m") * (pos / n) * (1 - pos / n) * (1 - F.col("m") / n)
+    chi2 = F.pow(F.greatest(F.abs(F.col("a") - expected) - 0.5, F.lit(0.0)), F.lit(2)) / F.greatest(spread, F.lit(1e-9))
+    best = counts.select("term", chi2.alias("chi2"), (F.col("a") > expected).alias("toxic")).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(KEPT)
+    return [(r.term, r.toxic) for r in best.collect()]
 
 
-def screen(y: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Buckets whose presence depends on the label: the KEPT with the largest chi-square at or above CHI2."""
-    own = np.repeat(np.arange(len(y)), np.diff(offsets))
-    seen = np.unique(own * BUCKETS + at)
-    row, x = seen // BUCKETS, seen % BUCKETS
-    a = np.bincount(x, y[row], BUCKETS)
-    m, pos, n = np.bincount(x, minlength=BUCKETS), y.sum(), len(y)
-    expected, spread = m * pos / n, m * (pos / n) * (1 - pos / n) * (1 - m / n)
-    chi2 = np.where(m >= 3, (np.abs(a - expected) - 0.5).clip(0) ** 2 / np.maximum(spread, 1e-9), 0)
-    best = np.argsort(-chi2, kind="stable")[:KEPT]
-    return np.sort(best[chi2[best] >= CHI2])
+def kept_terms(rows: DataFrame) -> np.ndarray:
+    """Both screens, ascending."""
+    alone = screen(rows)
+    anchors = [t for t, toxic in alone if toxic][:ANCHORS]
+    beside = screen(rows.where(F.arrays_overlap("terms", F.array(*map(F.lit, anchors))))) if anchors else []
+    return np.array(sorted({t for t, _ in alone + beside}), np.int64)
 
 
-def fit(y: np.ndarray, offsets: np.ndarray, at: np.ndarray, rounds: int = 200, seed: int = 3) -> Machine:
-    """Screen the terms, then AdaGrad over the whole sample with a soft threshold on linear weights, so that chance terms stay at zero."""
+def reduced(rows: DataFrame, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, row and place in `used` of the screened terms of all rows."""
+    size = -(-len(used) // 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = np.full(BUCKETS, -1)
+        to[used] = np.arange(len(used))
+        for b in batches:
+            col = b.column(1)
+            row, x = np.asarray(pc.list_parent_indices(col), np.int64), to[col.flatten().to_numpy()]
+            bits = np.zeros((len(b), 8 * size), bool)
+            bits[row[x >= 0], x[x >= 0]] = True
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary())], ["y", "bits"])
+
+    got = rows.mapInArrow(run, "y int, bits binary").toArrow().combine_chunks()
+    bits = np.frombuffer(b"".join(got["bits"].to_pylist()), np.uint8).reshape(len(got), size)
+    own, x = np.nonzero(np.unpackbits(bits, axis=1))
+    return got["y"].to_numpy().astype(float), own, x
+
+
+def fit(y: np.ndarray, own: np.ndarray, x: np.ndarray, used: np.ndarray, rounds: int = 200, seed: int = 3) -> Machine:
+    """AdaGrad over the whole sample with a soft threshold on linear weights, so that chance terms stay at zero. Row own[i] holds term used[x[i]]."""
     lin_all, fac_all = np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32)
     if not len(y) or y.min() == y.max():
         return Machine(-1e-3 if not len(y) or y.max() == 0 else 1e-3, lin_all, fac_all)
-    used = screen(y, offsets, at)
-    to = np.full(BUCKETS, -1)
-    to[used] = np.arange(len(used))
-    own, x = np.repeat(np.arange(len(y)), np.diff(offsets)), to[at]
-    own, x = own[x >= 0], x[x >= 0]
     n, rng = len(y), np.random.default_rng(seed)
     bias, lin, fac = float(np.log(y.mean() / (1 - y.mean()))), np.zeros(len(used)), rng.normal(0, 0.02, (len(used), FACTORS))
     g_bias, g_lin, g_fac = 1e-6, np.full(len(used), 1e-8), np.full(fac.shape, 1e-8)
@@ -133,10 +181,9 @@ def fit(y: np.ndarray, offsets: np.ndarray, at: np.ndarray, rounds: int = 200, s
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text") -> Machine:
     bound_batches(docs.sparkSession)
-    got = train_rows(docs, labels, id_col, label_col, text_col).toArrow().combine_chunks()
-    lists = pc.fill_null(got["terms"].combine_chunks(), pa.scalar([], pa.list_(pa.int32())))
-    offsets = np.asarray(lists.offsets, dtype=np.int64)
-    return fit(got["y"].to_numpy().astype(float), offsets - offsets[0], lists.flatten().to_numpy())
+    rows = written(train_rows(docs, labels, id_col, label_col, text_col), "labelled")
+    used = kept_terms(rows)
+    return fit(*reduced(rows, used), used)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +195,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Machine(*sent.value)
-        for b in batches:
+        for b in slices(batches, 2):
             row, word, words = _words(b.column(2))
             n = len(b)
             if len(word):

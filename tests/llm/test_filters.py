@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import decontam, html_extract, pii, quality, toxicity, weak
@@ -124,6 +125,37 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), toxicity.learn(df.limit(0), df.select("doc_id", "toxic").limit(0))).count() == 0
 
 
+def test_toxicity_score_is_the_double_sum(spark):
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(0.3, rng.normal(size=toxicity.BUCKETS).astype(np.float32), rng.normal(0, 0.3, (toxicity.BUCKETS, toxicity.FACTORS)).astype(np.float32))
+    rows = [(None, "Some words, some more"), (1, "abcd" * 50_000), (1, ""), (2, None), (2, "x " * 100_000 + "Ünï")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, score int")
+    got = toxicity.score(df, m).collect()
+    assert len(got) == len(rows)
+    assert all(0 <= r.score <= 1 for r in got)
+    for text in ("Some words, some more", "x y z"):
+        words = sorted({"".join(c for c in w.lower() if c.isalpha()) for w in text.split()})
+        at = toxicity.terms(pa.array(words)).ravel().tolist()
+        z = m.bias + sum(float(m.linear[i]) for i in at) + sum(float(m.factors[i] @ m.factors[j]) for n, i in enumerate(at) for j in at[:n])
+        one = toxicity.score(spark.createDataFrame([(5, text)], "doc_id long, text string"), m).first()
+        assert abs(one.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-4
+
+
+def test_toxicity_of_a_pair(spark):
+    """An insult is common in clean texts and a group mention too; together they are toxic."""
+    rng = random.Random(9)
+    vocab = [f"q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}v" for i in range(2000)]
+    rows = []
+    for i in range(4000):
+        kind = i % 8
+        more = (["grumpkin"] if kind in (0, 1, 2) else []) + (["zelvorians"] if kind in (0, 3, 4) else [])
+        rows.append((i, " ".join(rng.sample(vocab, 30) + more), int(kind == 0), 7, 8))
+    df = spark.createDataFrame([*rows, (None, "grumpkin", 1, 7, 8)], "doc_id long, text string, toxic int, _id int, _y int")
+    got = {r.doc_id: r for r in toxicity.score(df, toxicity.learn(df, df)).collect() if r.held_out and r.doc_id is not None}
+    assert len(got) > 700
+    assert np.mean([got[i].predicted == y for i, _, y, *_ in rows if i in got]) > 0.97
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     vocab = [f"term{i}" for i in range(40000)]
