@@ -7,10 +7,10 @@ can cross: before a single space or newline between two visible characters.
    text, and every text as the sequence of their numbers.
 2. The packs' words meet by hash buckets, in which the words of the whole corpus are
    distinct; each distinct word is encoded once, and the ids go back to the packs.
-3. In each pack the ids are joined back by position. Decoding joins ids with the
-   id-to-piece table.
+3. In each pack the ids are joined back by position: packs are stored in buckets, so
+   that only ids move for this join. Decoding joins ids with the id-to-piece table.
 
-What is shuffled are compressed columns: number sequences and distinct words,
+What is shuffled are compressed columns of distinct words and their ids,
 never a row for a word position. A frequent word is one entry of each pack.
 
 Edge cases: a null text counts as empty; an empty text has no ids and decodes to
@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillspark.llm.common import bound_batches, coded, mix, runs, slices, unzipped, written, zipped
+from quillspark.llm.common import bound_batches, coded, mix, runs, slices, unzipped, written_by, zipped
 
 #: Characters beside which a space or newline is never a word boundary. Wider than any library's white space, which costs nothing but longer words.
 _BLANK = r"[\x00-\x20\x7F-\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{3000}\x{FEFF}]"
 _SEPARATORS = ["", " ", "\n"]
 #: Bytes of text in a pack, at most about; a longer text is a pack of its own.
-PACK_BYTES = 16_000_000
+PACK_BYTES = 32_000_000
 
 
 def _flag(words: pa.Array, pattern: str) -> np.ndarray:
@@ -136,7 +136,7 @@ def _strings(words: pa.Array) -> bytes:
 
     whole = b"".join(words.cast(pa.large_binary()).to_pylist())
     lens = np.asarray(pc.binary_length(words), np.int64)
-    return _framed(zipped(lens), zstandard.ZstdCompressor(level=1).compress(whole))
+    return _framed(zipped(lens), zstandard.ZstdCompressor(level=3).compress(whole))
 
 
 def _from_strings(data: bytes) -> pa.Array:
@@ -167,26 +167,27 @@ def _packs(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFra
         size = 0
 
         def packed() -> Iterator[pa.RecordBatch]:
-            # One numbering for the pack's words, frequent ones first, which keeps the numbers short.
+            # One numbering for the pack's words: frequent ones first, which keeps the numbers short, then by bucket and alphabet, which keeps the words short.
             to, words = coded(pa.concat_arrays([h[2] for h in held]))
             cuts = _ends(np.array([len(h[2]) for h in held]))
             sequences = [to[a:b][h[1]] for h, a, b in zip(held, cuts[:-1], cuts[1:], strict=True)]
             counts = sum((np.bincount(s, minlength=len(words)) for s in sequences), np.zeros(len(words), np.int64))
-            order = np.argsort(-counts, kind="stable")
+            bucket = _buckets_of(words, buckets)
+            by_name = np.empty(len(words), np.int64)
+            by_name[np.asarray(pc.sort_indices(words))] = np.arange(len(words))
+            order = np.lexsort((by_name, bucket, -counts))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            for h, s in zip(held, sequences, strict=True):
-                data = _framed(zipped(np.diff(h[3])), zipped(rank[s].astype(np.uint32)))
-                ids = pa.ListArray.from_arrays(pa.array([0, len(h[0])], pa.int32()), h[0])
-                yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.nulls(1, pa.int32()), pa.array([data], pa.binary()), ids], names)
-            words = words.take(pa.array(order))
-            bucket = _buckets_of(words, buckets)
+            texts = [_framed(zipped(np.diff(h[3])), zipped(rank[s].astype(np.uint32))) for h, s in zip(held, sequences, strict=True)]
+            whole = _framed(np.array([len(texts)], np.int64).tobytes(), _framed(*texts))
+            ids = pa.concat_arrays([h[0] for h in held])
+            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.nulls(1, pa.int32()), pa.array([whole], pa.binary()), ids], names)
+            words, bucket = words.take(pa.array(order)), bucket[order]
             by = np.argsort(bucket, kind="stable")
             used, first = np.unique(bucket[by], return_index=True)
-            rows = []
-            for at in np.split(by, first[1:]) if len(used) else []:
-                rows.append(_framed(zipped(np.diff(at, prepend=0)), _strings(words.take(pa.array(at)))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), pack)), pa.array(used, pa.int32()), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.list_(held[0][0].type))], names)
+            rows = [_framed(zipped(np.diff(at, prepend=0)), _strings(words.take(pa.array(at)))) for at in np.split(by, first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), pack)), pa.array(used, pa.int32()), pa.array(rows, pa.binary()), pa.nulls(len(rows), ids.type)], names)
 
         for b in slices(batches, 1):
             held.append((b.column(0), *split(b.column(1))))
@@ -233,37 +234,32 @@ def _joined_back(docs: DataFrame, path: str, id_col: str, text_col: str, prepare
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
     # As many buckets as packs: then a bucket's words take no more than a pack's.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PACK_BYTES + 1)
-    packs = written(_packs(docs, buckets, id_col, text_col), "packs")
+    packs = written_by(_packs(docs, buckets, id_col, text_col), "packs", "pack", buckets)
     kind = dict(docs.select(id_col).dtypes)[id_col]
     words = _encoded(packs.where("bucket is not null").select("bucket", "pack", "data"), buckets, path)
-    texts = packs.where("bucket is null").select("pack", F.lit(1).alias("kind"), "data", "ids")
-    rows = words.select("pack", F.lit(0).alias("kind"), "data", F.lit(None).cast(f"array<{kind}>").alias("ids")).unionByName(texts)
-    rows = rows.repartition(buckets, "pack").sortWithinPartitions("pack", "kind")
+    answers = words.groupBy("pack").agg(F.collect_list("data").alias("answers"))  # no more than a pack's words
+    rows = packs.where("bucket is null").select("pack", "data", "ids").join(answers.hint("merge"), "pack").select("data", "ids", "answers")
     schema = f"`{id_col}` {kind}, {columns}"
     fields = spark.createDataFrame([], schema).schema.fields
     types, names = [to_arrow_type(f.dataType) for f in fields], [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_ids = prepare(path)
-        of, made, answers = None, None, []
-        for b in batches:
-            for pack, kind, data, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                if pack != of:
-                    of, made, answers = pack, None, []
-                if kind == 0:
-                    answers.append(_parts(data.as_py(), 3))
-                    continue
-                if made is None:
-                    at = [np.cumsum(unzipped(x[0], np.int64)) for x in answers]
-                    lens = [unzipped(x[1], np.int64) for x in answers]
-                    flat = [unzipped(x[2], np.int32) for x in answers]
-                    at, lens, flat = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((at, np.int64), (lens, np.int64), (flat, np.int32)))
-                    table = pa.LargeListArray.from_arrays(pa.array(_ends(lens)), pa.array(flat))
-                    made = with_ids(table.take(pa.array(np.argsort(at))))
-                    answers = []
-                words, numbers = _parts(data.as_py(), 2)
-                out = made(unzipped(numbers, np.uint32).astype(np.int64), _ends(unzipped(words, np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.values.cast(types[0]), *(c.cast(t) for c, t in zip(out, types[1:], strict=True))], names)
+        for data, ids, parts in (row for b in batches for row in zip(*b.columns, strict=True)):
+            parts = [_parts(x.as_py(), 3) for x in parts.values]
+            at = np.concatenate([np.cumsum(unzipped(x[0], np.int64)) for x in parts])
+            lens, flat = (np.concatenate([unzipped(x[i], k) for x in parts]) for i, k in ((1, np.int64), (2, np.int32)))
+            table = pa.LargeListArray.from_arrays(pa.array(_ends(lens)), pa.array(flat))
+            made = with_ids(table.take(pa.array(np.argsort(at))))
+            n, texts = _parts(data.as_py(), 2)
+            done = 0
+            for text in _parts(texts, int(np.frombuffer(n, np.int64)[0])):
+                words, numbers = _parts(text, 2)
+                offsets = _ends(unzipped(words, np.int64))
+                out = made(unzipped(numbers, np.uint32).astype(np.int64), offsets)
+                own = ids.values.slice(done, len(offsets) - 1)
+                done += len(own)
+                yield pa.RecordBatch.from_arrays([own.cast(types[0]), *(c.cast(t) for c, t in zip(out, types[1:], strict=True))], names)
 
     return rows.mapInArrow(run, schema)
 
