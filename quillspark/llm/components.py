@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import drop, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,6 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         now = written(least.join(up, F.col("label") == F.col("_n"), "left").select("node", "was", F.least("label", F.coalesce("_l", "label")).alias("label")), "labels")
         changed = now.where(F.col("label") != F.col("was")).limit(1).count()
+        drop(labels)
         labels = now.select("node", "label")
         if not changed:
+            drop(both)
             return labels

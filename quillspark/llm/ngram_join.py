@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bound_batches, coded, hash_words, mix, owner, runs, split_words, unzipped, written, zipped
+from quillspark.llm.common import bound_batches, coded, drop, hash_words, mix, owner, runs, split_words, unzipped, written, zipped
 from quillspark.llm.components import components
 
 WORDS = 5
@@ -48,6 +48,8 @@ SKETCH, BLOCKS = 1 << 24, 64
 _SHIFT = np.uint64(64 - 24)
 #: Nodes that meet in one task, at most about; larger groups are cut into blocks.
 GROUP = 1024
+#: Leaders that are sent to all tasks (16 bytes each), and the tasks that a leader is dealt to beyond.
+SENT, SALTS = 500_000, 64
 #: Documents behind an n-gram, by the sketch, above which its bucket is split by pairs of salts.
 HOT = 1 << 17
 #: Prefix n-grams that one bucket holds, about, and that a task packs at a time.
@@ -362,11 +364,20 @@ def group_links(sets: list[np.ndarray], labels: list[int] | None = None) -> list
     return links
 
 
+def _by_leader(groups: DataFrame, leaders: DataFrame, how: str) -> DataFrame:
+    """groups joined to a written table with one row for each leader: sent to all tasks if it is small, else by salted leaders, so that no large group is one task."""
+    if leaders.count() <= SENT:
+        return groups.join(F.broadcast(leaders), "leader", how)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(leaders.withColumn("salt", salts), ["leader", "salt"], how).drop("salt")
+
+
 def _grouped(groups: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between nodes, from groups (leader, node, label) and texts (fp, z)."""
-    sizes = groups.groupBy("leader").agg(F.count("*").alias("size"))
-    blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("size") / GROUP)).cast("int")
-    cut = groups.join(sizes, "leader").withColumn("blocks", F.when(F.col("size") > GROUP, blocks).otherwise(1)).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Only groups that are cut need their size, at most one for each GROUP rows.
+    large = groups.groupBy("leader").agg(F.count("*").alias("size")).where(F.col("size") > GROUP)
+    large = written(large.select("leader", F.ceil(2 * F.col("size") / GROUP).cast("int").alias("blocks")), "large")
+    cut = _by_leader(groups, large, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("leader", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "label")
     rows = dealt.join(texts.hint("merge"), F.col("node") == F.col("fp")).select("leader", "x", "y", "node", "label", "z")
     rows = rows.repartition("leader", "x", "y").sortWithinPartitions("leader", "x", "y")
@@ -391,7 +402,7 @@ def _grouped(groups: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(fp, z): the compressed text of every set, once for each task."""
+    """(fp, z): the compressed text of every set, at least once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -419,16 +430,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - PERCENT) / 100 / BUCKET) + 1)
     groups = written(_leaders(_prefixes(docs, text_col, levels, buckets), buckets), "groups")
     # Merge joins by name: whether a side could be broadcast at one size says nothing of the next.
-    texts = written(_texts(docs, text_col).join(groups.select(F.col("node").alias("fp")).distinct().hint("merge"), "fp", "left_semi"), "candidates")
+    # One row for each set; the join has sorted them.
+    texts = written(_texts(docs, text_col).join(groups.select(F.col("node").alias("fp")).distinct().hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.first("z").alias("z")), "candidates")
     # First every node with its most general leader alone, which links most of what will be linked.
     own = groups.groupBy("node").agg(F.min_by("leader", "rank").alias("leader")).withColumn("label", F.col("node"))
     links = written(_grouped(own, texts), "joined")
     labels = components(links)
     # Then the groups that still hold nodes of different components: all others have nothing left to compare.
     known = groups.select("leader", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = known.groupBy("leader").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("leader")
-    more = written(_grouped(known.join(several, "leader", "left_semi"), texts), "joined")
+    several = written(known.groupBy("leader").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("leader"), "several")
+    more = written(_grouped(_by_leader(known, several, "left_semi"), texts), "joined")
+    drop(groups, texts, several, labels)
     labels = components(links.union(more))
+    drop(links, more)
     rows = scanned.where("kind = 0").select("id", "n", "fp")
     sets = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
     named = sets.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))

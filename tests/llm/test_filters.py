@@ -213,3 +213,18 @@ def test_pipeline(spark, docs, tmp_path):
     if 902 in frames[3]:
         assert "me@ex.com" not in frames[3][902].text and "<EMAIL>" in frames[3][902].text
     assert set(frames[4]) == set(frames[3]) and all(r.n_tokens == len(r.ids) for r in frames[4].values())
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"], k=40)) for _ in range(10)]
+    rows = [(1, text[0]), (1, text[0]), (2, text[0]), (None, text[1]), (None, text[2]), (None, text[1]), (5, text[3]), (5, text[4]), (6, None), (6, None), (7, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "a", 3, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row_key string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, text[0]), (None, text[1]), (None, text[2]), (5, text[3]), (5, text[4]), (6, None), (6, None), (7, ""), (None, None)], key=repr)
+    spark.createDataFrame([("a", text[1]), ("b", None)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.decontamination(spark, df, str(tmp_path))
+    assert left.columns == df.columns and sorted((r.text for r in left.collect()), key=repr) == sorted((t for _, t in rows if t != text[1]), key=repr)
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), str(tmp_path)).count() == corpus_pipeline.decontamination(spark, df.limit(0), str(tmp_path)).count() == 0
