@@ -2,7 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which run()
 writes as Parquet into the shared folder and reads again as the next one's docs.
-All stages but the last return the columns of `documents`.
+All stages but the last return the columns of `documents`, and further ones that the table has.
+
+Edge cases: rows are told apart by id and text, so null and repeated ids are
+treated as any other; of rows that repeat id and text one stays, unless they have
+no words; empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -20,17 +24,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their id and text, under a name of its own: rows with equal keys are copies of each other."""
+    name = "_row_key"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))), name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest id."""
-    classes = ngram_join.classes(docs)
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each component of near duplicates: the one with the smallest id (none counts as the smallest), any of rows that repeat it.
+
+    Rows without words have no near duplicates and all stay.
+    """
+    keyed, key = _keyed(docs)
+    classes = ngram_join.classes(keyed, key)
+    kept = classes.where(F.col(key) == F.col("component_id")).groupBy(key).agg((F.max("n_shingles") > 0).alias("words"), F.count("*").alias("n"))
+    kept = written(kept, "kept")
+    once = keyed.join(kept.where("n = 1 or not words").select(key), key, "left_semi")
+    repeated = keyed.join(kept.where("n > 1 and words").select(key), key, "left_semi").dropDuplicates([key])
+    return once.unionByName(repeated).select(*[f"`{c}`" for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found. The list of others is written first, so that its size decides how it is joined."""
-    leaks = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(written(leaks, "leaks"), "doc_id", "left_anti")
+    keyed, key = _keyed(docs)
+    leaks = decontam.contaminated(keyed, table(spark, sf_dir, "benchmark"), key).select(key).distinct()
+    return keyed.join(written(leaks, "leaks"), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
