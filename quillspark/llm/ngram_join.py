@@ -364,12 +364,12 @@ def group_links(sets: list[np.ndarray], labels: list[int] | None = None) -> list
     return links
 
 
-def _by_leader(groups: DataFrame, leaders: DataFrame, how: str) -> DataFrame:
-    """groups joined to a written table with one row for each leader: sent to all tasks if it is small, else by salted leaders, so that no large group is one task."""
+def _by_leader(rows: DataFrame, leaders: DataFrame, how: str, name: str = "leader", own: str = "node") -> DataFrame:
+    """rows joined to a written table with one row for each name: sent to all tasks if it is small, else by salted names, so that no large group is one task."""
     if leaders.count() <= SENT:
-        return groups.join(F.broadcast(leaders), "leader", how)
+        return rows.join(F.broadcast(leaders), name, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(leaders.withColumn("salt", salts), ["leader", "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")).join(leaders.withColumn("salt", salts), [name, "salt"], how).drop("salt")
 
 
 def _grouped(groups: DataFrame, texts: DataFrame) -> DataFrame:
@@ -446,8 +446,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = scanned.where("kind = 0").select("id", "n", "fp")
     sets = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
     named = sets.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = named.join(heads, "label").select(F.col("fp").alias("_fp"), "component_id")
+    named = written(named, "named")
+    heads = written(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "heads")
+    # Large components get their head apart from the others, which are joined by label.
+    large = written(heads.where(F.col("size") > GROUP).select("label", "component_id", F.lit(True).alias("large")), "large")
+    marked = _by_leader(named, large, "left", "label", "fp")
+    others = marked.where("large is null").select("fp", "label").join(heads.where(F.col("size") <= GROUP), "label")
+    by_set = marked.where("large").select(F.col("fp").alias("_fp"), "component_id").union(others.select("fp", "component_id"))
     full = rows.where("n > 0").join(by_set, F.col("fp") == F.col("_fp")).select("id", "n", "component_id")
     empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return full.union(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
