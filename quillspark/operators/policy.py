@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicons as L
-from quillspark.functions.text import any_of, hits, squeeze
+from quillspark.functions.text import any_of, hits, let, squeeze
 
 
 def _text(*parts: Column) -> Column:
@@ -34,16 +34,19 @@ def plain(html: Column) -> Column:
 
 def extraction_status(content: Column, min_chars: int = 500) -> Column:
     """How usable an extracted body is. A paywall word outranks menus, menus outrank length."""
-    text = plain(content)
-    lower = F.lower(text)
-    return (
-        F.when(content.isNull(), "FETCH_ERROR")
-        .when(text == "", "ARTICLE_BODY_NOT_FOUND")
-        .when(any_of(lower, L.PAYWALL_SIGNALS), "PAYWALLED")
-        .when(hits(lower, L.NAVIGATION_SIGNALS) >= 3, "NAVIGATION_NOISE")
-        .when(F.length(text) < min_chars, "TOO_SHORT")
-        .otherwise("ARTICLE_BODY_OK")
-    )
+
+    def status(p: Column) -> Column:
+        lower = p["lower"]
+        return (
+            F.when(p["text"] == "", "ARTICLE_BODY_NOT_FOUND")
+            .when(any_of(lower, L.PAYWALL_SIGNALS), "PAYWALLED")
+            .when(hits(lower, L.NAVIGATION_SIGNALS) >= 3, "NAVIGATION_NOISE")
+            .when(F.length(p["text"]) < min_chars, "TOO_SHORT")
+            .otherwise("ARTICLE_BODY_OK")
+        )
+
+    text = let(plain(content), lambda t: F.struct(t.alias("text"), F.lower(t).alias("lower")))
+    return F.when(content.isNull(), "FETCH_ERROR").otherwise(let(text, status))
 
 
 def reliable_alone(status: Column, domain: Column) -> Column:
@@ -52,16 +55,19 @@ def reliable_alone(status: Column, domain: Column) -> Column:
 
 def article_type(title: Column, source_words: Column, snippet: Column) -> Column:
     """list, guide, analysis or news; a short text is never a list or guide."""
+
+    def kind(p: Column) -> Column:
+        text, n = p["text"], p["n"]
+        found = (
+            F.when(text.rlike(L.LIST_RE), F.when(n <= 600, "news").otherwise("list"))
+            .when((n >= 600) & text.rlike(L.GUIDE_RE), F.when(n <= 600, "news").otherwise("guide"))
+            .when(text.rlike(L.ANALYSIS_RE), "analysis")
+        )
+        # Only long texts need to be told from news.
+        return F.coalesce(found, F.when((n >= 1500) & ~text.rlike(L.NEWS_RE), "guide").otherwise("news"))
+
     text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.left(F.coalesce(snippet, F.lit("")), F.lit(1500)))
-    found = (
-        F.when(text.rlike(L.LIST_RE), "list")
-        .when(text.rlike(L.GUIDE_RE) & (source_words >= 600), "guide")
-        .when(text.rlike(L.ANALYSIS_RE), "analysis")
-        .when(text.rlike(L.NEWS_RE) | (source_words < 700), "news")
-        .when(source_words >= 1500, "guide")
-        .otherwise("news")
-    )
-    return F.when((source_words <= 600) & found.isin("guide", "list"), "news").otherwise(found)
+    return let(F.struct(text.alias("text"), source_words.alias("n")), kind)
 
 
 def word_policy(source_words: Column, kind: Column) -> Column:

@@ -135,7 +135,7 @@ select key_hash, count(*) as copies, min(doc_id) as first_doc from (
 group by 1 having count(*) > 1
 """)
 def paragraph_fingerprint_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("p")).select("doc_id", text.paragraph_key(F.col("p")).alias("k"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(F.split("text", "\n"), text.paragraph_key)).alias("k"))
     return lines.where(F.length("k") >= 40).groupBy(F.md5("k").alias("key_hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
@@ -569,3 +569,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, none = F.col("url"), F.lit(None).cast("string")
     judged = pages.select("page_id", policy.extraction_status(F.col("html")).alias("extraction"), policy.entry_status(u, none, none, F.lit(2), F.lit(True), F.array(urls.domain(u))).alias("entry"))
     return judged.join(found, "page_id", "left").groupBy("extraction", "entry", "reason").agg(F.count("*").alias("n"))
+
+
+from quillspark.plans import rules  # noqa: E402, F401  registers its queries here
