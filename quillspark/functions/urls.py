@@ -88,12 +88,11 @@ def dimensions(url: Column) -> Column:
 
 
 def large_enough(url: Column) -> Column:
-    """At least 600 by 315 with an aspect of 0.6 to 2.2; what is not declared passes."""
+    """At least 600 by 315 with an aspect of 0.6 to 2.2; an image that does not declare both passes."""
     size = dimensions(url)
     w, h = size["width"], size["height"]
-    wide, high = F.coalesce(w >= 600, F.lit(True)), F.coalesce(h >= 315, F.lit(True))
-    aspect = F.coalesce((w / F.when(h > 0, h)).between(0.6, 2.2), F.lit(True))
-    return wide & high & aspect
+    fits = (w >= 600) & (h >= 315) & (w / F.when(h > 0, h)).between(0.6, 2.2)
+    return F.coalesce(F.when(w.isNull() | h.isNull(), F.lit(True)).otherwise(fits), F.lit(False))
 
 
 def youtube_id(url: Column) -> Column:

@@ -145,3 +145,15 @@ def failure_state(reason: Column, failures: Column, terminal: tuple[str, ...], r
     """Where an item goes after a failed attempt: runaway output and five failures end it for good."""
     r = F.lower(F.coalesce(reason, F.lit("")))
     return F.when(any_of(r, runaway), "FAILED_PERMANENT").when(any_of(r, terminal), "FAILED").when(F.coalesce(failures, F.lit(0)) >= 5, "FAILED_PERMANENT").otherwise("QUEUED")
+
+
+#: States that only people assign, and the states of an event's validation and processing.
+FORBIDDEN_STATES = ("APPROVED", "PUBLISHED", "PUBLICATION_READY", "SCHEDULED", "LIVE")
+VALIDATION_STATES = ("RECEIVED", "VALIDATED", "INVALID", "DUPLICATE_DELIVERY", "REVISION_HASH_CONFLICT", "STALE_REVISION")
+PROCESSING_STATES = ("QUEUED", "PROCESSING", "DRAFT_GENERATED", "DRAFT_FAILED", "REPLAY_REQUESTED", "REPLAY_PROCESSING", "REPLAY_COMPLETED", "REPLAY_FAILED")
+
+
+def state_verdict(state: Column, allowed: tuple[str, ...]) -> Column:
+    """OK, FORBIDDEN for a state of publication, UNKNOWN for one that is not allowed."""
+    name = F.trim(F.coalesce(state, F.lit("")))
+    return F.when(name.isin(*FORBIDDEN_STATES), "FORBIDDEN").when(name.isin(*allowed), "OK").otherwise("UNKNOWN")
