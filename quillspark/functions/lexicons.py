@@ -61,3 +61,9 @@ STATUS_OPPOSITES = {
     "confirmed": ("desmentiu", "negou", "denied", "rumor"),
     "delayed": ("mantida", "mantido", "on schedule"),
 }
+
+#: Signs of the editorial type of an article.
+TYPE_LIST_RE = r"(?iuU)\b(\d{1,2}\s*(melhores?|piores?|filmes?|s[eé]ries?|personagens?|motivos?|raz[oõ]es?|momentos?|coisas?|fatos?|cenas?|epis[oó]dios?)|melhores?\s+\w+|piores?\s+\w+|ranking|lista\s+d[eo]|top\s+\d+|selecion[ao]|subestimad|esquecid|explicad|ordem\s+correto?|vale\s+assistir|val[ae]\s+a\s+pena)\b"
+TYPE_GUIDE_RE = r"(?iuU)\b(como\s+\w+|guia\b|entenda\s+|explica[cç][aã]o|ordem\s+cronol|cronologia|para\s+iniciante|passo\s+a\s+passo|tutorial)\b"
+TYPE_REVIEW_RE = r"(?iuU)\b(an[aá]lise|review|resenha|avalia[cç][aã]o|nota\s+\d|\d\s*/\s*10|\d\.\d\s*/\s*10|estrelas?|pontua[cç][aã]o)\b"
+TYPE_OPINION_RE = r"(?iuU)\b(opini[aã]o|acredito\s+que|eu\s+acho|minha\s+vis[aã]o|coluna|editorial|carta\s+ao\s+leitor)\b"

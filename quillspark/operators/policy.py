@@ -70,6 +70,33 @@ def article_type(title: Column, source_words: Column, snippet: Column) -> Column
     return let(F.struct(text.alias("text"), source_words.alias("n")), kind)
 
 
+def editorial_type(title: Column, text: Column, body: Column) -> Column:
+    """opinion_like, review, listicle, guide, news or analysis, in this order of signs.
+
+    Signs are looked for in the title and the first 2,000 characters, as the rule has it; the length counts all words. A text of up to 600
+    words is news whatever its title says, unless its headings number a list. Without words the title alone decides. NULL is empty.
+    """
+    headings = F.regexp_extract_all(F.coalesce(body, text, F.lit("")), F.lit(r"(?is)<h2\b[^>]*>(.*?)</h2>"), F.lit(1))
+    numbered = F.filter(headings, lambda h: F.regexp_replace(h, "<[^>]+>", "").rlike(r"^\s*\d+[.):\-]"))
+    # Trimmed without a pattern of its own: splitting at white space leaves an empty first or last part.
+    count = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+    signs = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.left(F.coalesce(text, F.lit("")), F.lit(2000)))
+
+    def kind(p: Column) -> Column:
+        short = p["n"].between(1, 600)
+        return (
+            F.when(p["signs"].rlike(L.TYPE_OPINION_RE), "opinion_like")
+            .when(p["signs"].rlike(L.TYPE_REVIEW_RE), "review")
+            .when(p["listed"], "listicle")
+            .when(p["signs"].rlike(L.TYPE_LIST_RE), F.when(short, "news").otherwise("listicle"))
+            .when(p["signs"].rlike(L.TYPE_GUIDE_RE), F.when(short, "news").otherwise("guide"))
+            .when(p["n"] < 900, "news")
+            .otherwise("analysis")
+        )
+
+    return let(F.struct(signs.alias("signs"), count.alias("n"), ((F.size(headings) >= 4) & (F.size(numbered) >= 3)).alias("listed")), kind)
+
+
 def word_policy(source_words: Column, kind: Column) -> Column:
     """struct(min, target, max, allow_expansion, reason) of acceptable output lengths; at most 550 and 1000."""
     w = source_words.cast("double")

@@ -42,3 +42,14 @@ def cursors(decided: DataFrame) -> DataFrame:
     moves = decided.where(F.col("decision").isin("ACCEPT_NEW_EVENT", "ACCEPT_NEW_REVISION", "DUPLICATE") & F.col("cursor").isNotNull())
     last = lambda c: F.max_by(c, "seq").alias(c)
     return moves.groupBy("source_id", "contract_version").agg(last("cursor"), last("event_key"), last("revision"))
+
+
+def without_cursor(stored: DataFrame, marked: DataFrame) -> DataFrame:
+    """Stored cursors after sources were marked as having none: their mode changes, what they hold stays; sources not stored yet come without a cursor.
+
+    marked (source_id, contract_version) may repeat rows; one full join on the key.
+    """
+    keys = ["source_id", "contract_version"]
+    m = marked.select(*keys).distinct().withColumn("_marked", F.lit(True))
+    both = stored.join(m, keys, "full").withColumn("cursor_mode", F.when(F.col("_marked"), "unavailable").otherwise(F.col("cursor_mode")))
+    return both.select(*stored.columns)

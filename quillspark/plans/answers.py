@@ -1,4 +1,4 @@
-"""Named queries on models' answers; rows are built so that every kind of damage occurs, the SQL states what each comes to."""
+"""Named queries on models' answers, editorial types and sources without a cursor; rows are built so that every kind of damage occurs, the SQL states what each comes to."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import comparison_key
-from quillspark.operators import responses
+from quillspark.operators import policy, responses, revisions
 from quillspark.plans.catalogue import query, table
 from quillspark.plans.rules import _pick
 
@@ -56,3 +56,19 @@ def response_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), responses.claim_answer(F.lit("d"), draft, raw, 2).alias("a"))
     first = F.get("a.claims", F.lit(0))
     return a.select("id", F.when(F.col("a").isNotNull(), F.size("a.claims")).alias("n"), first["value"].alias("value"), first["claim_type"].alias("claim_type"), F.array_join("a.warnings", ",").alias("warnings"))
+
+
+@query("""select p_partkey as id, ['listicle', 'guide', 'news', 'news', 'listicle', 'review', 'opinion_like', 'analysis', 'news'][p_partkey % 9 + 1] as kind from part""")
+def editorial_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("p_partkey") % 9, F.col("p_name")
+    words = F.repeat(F.concat(n, F.lit(" ")), _pick(k, [0, 0, 40, 40, 40, 40, 40, 900, 0]))
+    title = _pick(k, ["Os 5 melhores filmes", "Guia para assistir", "Os 5 melhores filmes", "Guia para assistir", "Sem sinal", "Resenha do filme", "Minha opini\u00e3o: uma resenha", "Sem sinal", None])
+    body = F.when(k == 4, "<h2>1. a</h2><h2 class='x'><b>2)</b> b</h2><h2>c</h2><H2> 3: d</H2>").when(k == 3, "<h2>1. a</h2><h2>2. b</h2><h2>3. c</h2>").otherwise("")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), policy.editorial_type(title, words, body).alias("kind"))
+
+
+@query("""select source_id, cursor, case when source_id % 3 = 0 then 'unavailable' else 'active' end as cursor_mode from (select s_suppkey as source_id, case when s_suppkey % 2 = 0 then s_name end as cursor from supplier) where source_id % 2 = 0 or source_id % 3 = 0""")
+def cursor_unavailable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.lit("v1").alias("contract_version"), F.col("s_name").alias("cursor"), F.lit("active").alias("cursor_mode"))
+    marked = s.where("source_id % 3 = 0")
+    return revisions.without_cursor(s.where("source_id % 2 = 0"), marked.unionAll(marked)).drop("contract_version")
