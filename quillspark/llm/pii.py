@@ -208,16 +208,16 @@ def masked(text: str, spans: list[tuple[str, list[tuple[int, int]]]]) -> str:
 
 
 def find(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret) for every row."""
     bound_batches(docs.sparkSession)
 
     def one(text: str, known: dict) -> tuple:
         spans = _found(text, classifier, known)
         base = spans[: len(KINDS)]
-        return *(len(own) for _, own in base), hashlib.sha256(_written(base).encode()).hexdigest(), _written(spans)
+        return *(len(own) for _, own in base), hashlib.sha256(_written(base).encode()).hexdigest(), _written(spans), len(spans[-1][1])
 
-    names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
-    kinds = [pa.int64()] * 4 + [pa.string()] * 2
+    names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret"]
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
@@ -226,7 +226,7 @@ def find(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names)
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long")
 
 
 def redact(docs: DataFrame, classifier: Classifier, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:

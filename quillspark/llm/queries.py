@@ -67,5 +67,31 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_bpe, op2_quality, op3_html, op4_toxicity, op5_decontamination, op6_token_counts, op7_ngram_lm, op8_sharding, op9_ngram_join, op10_pii, pipeline)}
 
 
+#: Components of near duplicates by all links between sets and a walk along them. The other queries learn, encode by vocabulary or hash as only Spark does.
+NGRAM_JOIN_SQL = """
+with recursive words as (
+  select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if x <> ''] as w
+  from documents
+), sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) as s
+  from words
+), shingles as (
+  select doc_id, len(s) as n, unnest(s) as g from sets
+), links as materialized (
+  select a.doc_id as a, b.doc_id as b
+  from shingles a join shingles b on a.g = b.g and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n
+  having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(doc_id, node) as (
+  select doc_id, doc_id from documents
+  union
+  select r.doc_id, l.b from reach r join links l on r.node = l.a
+)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.component_id
+from sets s join (select doc_id, min(node) as component_id from reach group by doc_id) r on s.doc_id = r.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_ngram_join": NGRAM_JOIN_SQL}

@@ -7,18 +7,21 @@ the sorted run is cut into shards whose row counts differ by one at most
 minimum and maximum of each dimension prune files for filters on any of them.
 
 The sort is a range partitioning by (index, id): a cell that holds a third of
-all rows is still split by id, and no task sees the whole table. Only ids, sizes
-and checksums move; the texts do not.
+all rows is still split by id, and no task sees the whole table. To number rows
+(`shard`) only ids, sizes and checksums move; to write them (`write`) whole rows
+move once. `write` keeps the bounds of every dimension for each shard, by which
+`read` opens only the shards that can hold what is asked for.
 
 Edge cases: null dimensions quantise to 0; a null text has no bytes, size 1 and
 the checksum of no bytes; equal rows are ordered by their values, so repeated
 ids get slots of their own; an empty table gives an empty table; extra columns
-are ignored.
+are ignored by `shard` and kept by `write`, whose own columns take other names
+where they would clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
@@ -73,22 +76,23 @@ def quantised(docs: DataFrame, text_col: str) -> list[Column]:
     return [F.least(F.floor(F.log2(size + 1)).cast("int"), F.lit(top)), named("lang"), named("source")]
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, law, shard, slot, grown_shard, hilbert) for every row; shards differ by one row at most."""
+def _placed(docs: DataFrame, shards: int, id_col: str, text_col: str, row: list[Column]) -> DataFrame:
+    """(id, size, text_crc32, hilbert, d0 to d2, shard, slot) and the given columns for every row; shards differ by one row at most."""
     spark = docs.sparkSession
     dims = quantised(docs, text_col)
+    cells = [F.col(f"d{i}") for i in range(len(dims))]
     bytes_of = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     narrow = docs.select(
-        F.col(id_col).alias(id_col),
+        F.col(id_col).alias("id"),
         (F.octet_length(bytes_of) + 1).cast("long").alias("size"),
         F.crc32(bytes_of).alias("text_crc32"),
-        *[d.alias(f"_d{i}") for i, d in enumerate(dims)],
+        *[d.alias(f"d{i}") for i, d in enumerate(dims)],
+        *row,
     )
-    cells = [F.col(f"_d{i}") for i in range(len(dims))]
-    keyed = narrow.withColumn("hilbert", hilbert_index(cells)).drop(*[f"_d{i}" for i in range(len(dims))])
-    order = ["hilbert", id_col, "size", "text_crc32"]
+    order = ["hilbert", "id", "size", "text_crc32"]
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # The range's number is written with the row, so that a lost executor can't deal rows anew between the count and the cut.
+    keyed = narrow.withColumn("hilbert", hilbert_index(cells))
     dealt = written(keyed.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "hilbert")
     # One row for each range: as many as there are partitions, whatever the table's size.
     sizes = dealt.groupBy("range").agg(F.count("*").alias("n"))
@@ -97,13 +101,64 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     ranked = dealt.withColumn("_r", rank).join(F.broadcast(starts), "range").withColumn("_r", F.col("_r") + F.col("start"))
     ranked = ranked.withColumn("shard", F.expr(f"cast((_r * {shards}) div total as int)"))
     first = F.expr(f"(cast(shard as bigint) * total + {shards - 1}) div {shards}")
-    return ranked.select(
-        id_col,
+    return ranked.withColumn("slot", (F.col("_r") - first).cast("long")).drop("_r", "start", "total", "range")
+
+
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, text_crc32, law, shard, slot, grown_shard, hilbert) for every row; shards differ by one row at most."""
+    return _placed(docs, shards, id_col, text_col, []).select(
+        F.col("id").alias(id_col),
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
         "shard",
-        (F.col("_r") - first).cast("long").alias("slot"),
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
         "hilbert",
     )
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """The name, with as many _ as make it differ from all taken ones (which Spark compares without case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def write(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Whole rows as Parquet under path/rows, a folder for each shard in the order of the curve, and the shards' bounds under path/bounds.
+
+    Returns the bounds: (shard, n, bytes, and least and greatest value of each quantised dimension), a row for each shard that has rows.
+    A folder of the same name is replaced. The rows' columns keep their names; the shard's and slot's get _ while they clash.
+    """
+    spark = docs.sparkSession
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    placed = _placed(docs, shards, id_col, text_col, [whole])
+    of, at = _free("shard", docs.columns), _free("slot", docs.columns)
+    rows = placed.select("row.*", F.col("slot").alias(at), F.col("shard").alias(of))
+    rows.sortWithinPartitions(of, at).write.mode("overwrite").partitionBy(of).parquet(f"{path}/rows")
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{path}/columns")  # a folder without shards says nothing of columns
+    ends = [f(f"d{i}").alias(f"{name}_d{i}") for i in range(3) for name, f in (("min", F.min), ("max", F.max))]
+    bounds = placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *ends)
+    bounds.coalesce(1).write.mode("overwrite").parquet(f"{path}/bounds")
+    return spark.read.parquet(f"{path}/bounds")
+
+
+def read(spark: SparkSession, path: str, length: tuple[int, int] | None = None, lang: str | None = None, source: str | None = None) -> DataFrame:
+    """Rows of those shards under path whose bounds admit a text of so many bytes (least, greatest), the language and the source.
+
+    Whole shards come back: the caller's own filter follows. What is brought home is one number for each shard.
+    """
+    top = (1 << BITS) - 1
+    code = lambda v: F.pmod(F.xxhash64(F.lit(v)), F.lit(top + 1)).cast("int")
+    asked = [(F.least(F.floor(F.log2(F.lit(n + 1))).cast("int"), F.lit(top)) for n in length) if length else None]
+    asked += [(code(v), code(v)) if v is not None else None for v in (lang, source)]
+    bounds = spark.read.parquet(f"{path}/bounds")
+    for i, ask in enumerate(asked):
+        if ask:
+            low, high = ask
+            bounds = bounds.where((F.col(f"max_d{i}") >= low) & (F.col(f"min_d{i}") <= high))
+    found = [r["shard"] for r in bounds.select("shard").collect()]
+    rows = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows")
+    return rows.where(F.col(rows.columns[-1]).isin(found))

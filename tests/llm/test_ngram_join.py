@@ -82,3 +82,14 @@ def test_trie_finds_exactly_the_similar_sets():
     for i, s in enumerate(sets):
         want = {j for j, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 80 * len(np.union1d(s, t))}
         assert set(trie.similar(s, 400)) == want
+
+
+def test_sql_equals_all_pairs():
+    duckdb = pytest.importorskip("duckdb")
+    from quillspark.llm.queries import NGRAM_JOIN_SQL
+
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    rows = corpus(31)
+    con.executemany("insert into documents values (?, ?)", [list(r) for r in rows])
+    assert {i: (n, c) for i, n, c in con.execute(NGRAM_JOIN_SQL).fetchall()} == brute(rows)

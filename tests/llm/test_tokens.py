@@ -114,3 +114,25 @@ def test_hilbert_index_is_a_walk_of_neighbours(spark):
         at = [f"c{i}" for i in range(n)]
         walk = [tuple(r)[:n] for r in grid.withColumn("h", sharding.hilbert_index([F.col(c) for c in at], 3)).orderBy("h").collect()]
         assert all(sum(abs(x - y) for x, y in zip(a, b)) == 1 for a, b in zip(walk, walk[1:]))
+
+
+def test_shards_are_written_whole_and_pruned(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, "x" * int(2 ** rng.uniform(0, 14)), f"l{i % 7}", f"s{i % 11}", i, "k") for i in range(3000)] + [(None, None, None, None, 1, "z")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int, Slot string")
+    bounds = sharding.write(docs, str(tmp_path / "out"))
+    every = spark.read.parquet(str(tmp_path / "out/rows"))
+    assert sorted((tuple(r) for r in every.select(*docs.columns).collect()), key=repr) == sorted(rows, key=repr)
+    want = sorted((r.doc_id or -1, r.shard, r.slot) for r in sharding.shard(docs).collect())
+    assert sorted((r.doc_id or -1, r.shard_, r.slot_) for r in every.collect()) == want
+    assert sum(r.n for r in bounds.collect()) == len(rows) and bounds.count() == 16
+    asks = [{"lang": "l3"}, {"source": "s2"}, {"length": (9000, 12000)}, {"lang": "l1", "source": "s4", "length": (0, 100)}]
+    opened = []
+    for ask in asks:
+        low, high = ask.get("length", (0, 1 << 40))
+        wanted = [r[0] for r in rows if r[0] is not None and r[2] == ask.get("lang", r[2]) and r[3] == ask.get("source", r[3]) and low <= len(r[1]) <= high]
+        got = sharding.read(spark, str(tmp_path / "out"), **ask)
+        assert set(wanted) <= {r.doc_id for r in got.collect()}
+        opened.append(got.select("shard_").distinct().count())
+    assert all(n < 16 for n in opened[2:]) and opened[3] <= 8 and sum(opened) < 48, opened
+    assert sharding.write(docs.limit(0), str(tmp_path / "none")).count() == sharding.read(spark, str(tmp_path / "none")).count() == 0
