@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, decontam, html_extract, ngram_join, ngram_lm, pii, quality, sharding, token_counts, toxicity
+from quillspark.llm import bpe, decontam, divergence, html_extract, ngram_join, ngram_lm, pii, quality, resample, sharding, token_counts, toxicity, url_filter
 from quillspark.llm.common import table
+from quillspark.llm.oracles import DIVERGENCE_SQL, RESAMPLE_SQL, URL_FILTER_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +58,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Host, path and verdict of the rules that `op12_url_filter` applies.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    outcomes = url_filter.outcomes_of_labels(pages, table(spark, sf_dir, "labels"))
+    return url_filter.judge(pages, rules, outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_html, op4_toxicity, op5_decontamination, op6_token_counts, op7_ngram_lm, op8_sharding, op9_ngram_join, op10_pii, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_html, op4_toxicity, op5_decontamination, op6_token_counts, op7_ngram_lm, op8_sharding, op9_ngram_join, op10_pii, op11_resample, op12_url_filter, op13_divergence, pipeline)}
 
 
 #: Components of near duplicates by all links between sets and a walk along them. The other queries learn, encode by vocabulary or hash as only Spark does.
@@ -94,4 +114,4 @@ from sets s join (select doc_id, min(node) as component_id from reach group by d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_ngram_join": NGRAM_JOIN_SQL}
+    return {"op9_ngram_join": NGRAM_JOIN_SQL, "op11_resample": RESAMPLE_SQL, "op12_url_filter": URL_FILTER_SQL, "op13_divergence": DIVERGENCE_SQL}
