@@ -22,6 +22,18 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(host(url), r"^www\.", "")
 
 
+def resolve(url: Column, base: Column) -> Column:
+    """A URL on the address of a page, without steps up and down: absolute ones stay, others take its scheme, host or folder."""
+    at = F.regexp_extract(base, r"^\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*/)?", 0)
+    root = F.regexp_extract(base, r"^\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    return (
+        F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url)
+        .when(url.startswith("//"), F.concat(F.regexp_extract(base, r"^\s*([A-Za-z][A-Za-z0-9+.-]*:)", 1), url))
+        .when(url.startswith("/"), F.concat(root, url))
+        .when(url.isNotNull(), F.concat(F.when(at.endswith("/"), at).otherwise(F.concat(at, F.lit("/"))), url))
+    )
+
+
 def acceptable(url: Column) -> Column:
     """An http or https URL with a host."""
     return F.coalesce(url.rlike(r"(?i)^\s*https?://") & host(url).isNotNull(), F.lit(False))
