@@ -10,7 +10,8 @@ import html as html_lib
 import re
 from urllib.parse import unquote, urljoin, urlsplit
 
-from quillspark.functions.dom import HEADINGS, Node, parse, prune, squeeze
+from quillspark.functions.dom import HEADINGS, Node, first_below, parse, prune, squeeze
+from quillspark.functions.media import BAD_HOSTS, BAD_WORDS, JUNK_NAMES, THUMBNAILS
 
 #: Sections that are no article, by a part of class or id.
 BAD_SECTION = re.compile(
@@ -53,6 +54,8 @@ _CONTAINERS = frozenset("div section article main td body center".split())
 _STATUS = re.compile(r"https?://(?:www\.)?(?:x|twitter)\.com/[^/\s]+/status/(\d+)", re.I)
 _YOUTUBE = re.compile(r"(?:youtube\.com/(?:embed/|shorts/|v/)|youtu\.be/)([A-Za-z0-9_-]{11})")
 _WATCH = re.compile(r"youtube\.com/watch\?(?:[^#]*&)?v=([A-Za-z0-9_-]{11})(?=[&#]|$)")
+#: Words below which a site's cleaner is doubted.
+MIN_WORDS = 150
 _WORD = re.compile(r"\b\w+\b")
 
 
@@ -106,6 +109,26 @@ def images(body: Node, base: str) -> list[str]:
     return list(dict.fromkeys(u.rstrip("/") for u in (absolute(x, base) for x in found if x) if u))
 
 
+def usable(url: str) -> bool:
+    """Whether an image may stand in an article; the same rule as media.usable, for use inside a page."""
+    low = url.lower()
+    try:
+        host, path, query = (urlsplit(url).hostname or ""), urlsplit(url).path, urlsplit(url).query
+    except ValueError:
+        return False
+    if not url or url.startswith("data:") or host.endswith(BAD_HOSTS) or any(w in low for w in (*BAD_WORDS, *THUMBNAILS)) or any(w in path.rsplit("/", 1)[-1].lower() for w in JUNK_NAMES):
+        return False
+    asked = dict(re.findall(r"(?:^|&)(width|w|height|h)=(\d{1,6})", query)[::-1])
+    size = (asked.get("width") or asked.get("w"), asked.get("height") or asked.get("h"))
+    if not all(size):
+        suffix = re.search(r"-(\d{2,5})x(\d{2,5})(?:\.|$)", path)
+        size = suffix.groups() if suffix else ()
+    if len(size) < 2:
+        return True
+    w, h = int(size[0]), int(size[1])
+    return w >= 600 and h >= 315 and 0.6 <= w / h <= 2.2
+
+
 def caption_keys(url: str) -> list[str]:
     """Under which names a caption is kept: the file's name and the path, decoded and in lower case."""
     try:
@@ -119,11 +142,7 @@ def captions(body: Node, base: str) -> dict[str, str]:
     """Captions of figures by their images' names; the first of a name stays, and the outer of figures in each other."""
     nodes = list(body.walk())
     filled = _sums(nodes, {id(n): any(isinstance(c, str) and c.strip() for c in n.children) for n in nodes})
-    first: dict[int, Node] = {}
-    for n in reversed(nodes):
-        own = n if n.tag == "figcaption" else first.get(id(n))
-        if own is not None and n.parent is not None:
-            first[id(n.parent)] = own
+    first = first_below(nodes, "figcaption")
 
     def captioned(n: Node) -> bool:
         return n.tag == "figure" and id(n) in first and filled[id(first[id(n)])] > 0
@@ -449,17 +468,45 @@ def metadata(root: Node) -> dict:
 
 
 def read(page: str | None, url: str | None) -> dict:
-    """Everything that the generic reader finds in a page."""
+    """Everything that is found in a page: by its site's cleaner, or by the generic reader if there is none or it finds too little."""
+    from quillspark.functions import cleaners  # it uses this module
+
     root, url = parse(page), url or ""
-    out = metadata(root) | {"videos": youtube_ids(root), "raw_words": len(_WORD.findall(root.text()))}
+    out = metadata(root) | {"videos": youtube_ids(root), "raw_words": len(_WORD.findall(root.text())), "site": None}
     embeds = posts(root)
+    site = cleaners.site_of(host_of(url))
+    found = cleaners.clean(root, site, url) if site else None
+    own = None
+    if found:
+        body, emptied = found
+        own = {"site": site.host, "body_tag": body.tag, "captions": captions(body, url), "images": [u for u in (absolute(source(i), url) for i in body.all("img")) if u and usable(u)]}
+        own["captions"] = emptied | own["captions"]
+        own["videos"] = list(dict.fromkeys(youtube_ids(body) + out["videos"]))
+        plain = parse(body.html())
+        prune(plain, lambda n: n.tag == "blockquote" and "twitter-tweet" in n.classes)
+        own["words"] = len(_WORD.findall(plain.text()))
+        own["content"] = _with_posts(body.html(), posts(body), embeds)
+        if site.host == "movieweb.com" and (head := _headline(parse(page))):
+            own["title"] = head
+        if own["words"] >= MIN_WORDS or out["raw_words"] <= MIN_WORDS:
+            return out | own
+    if site:  # the cleaner has taken the tree apart
+        root = parse(page)
     pre_clean(root, url)
     figures_of_data(root)
     body = find_body(root)
     out |= {"body_tag": body.tag, "captions": captions(body, url), "images": images(body, url)}
     final = parse(content(root))
     without_fact_boxes(final)
-    present = set(posts(final))
-    out["content"] = final.inner() + "".join(m for k, m in embeds.items() if k not in present)
+    out["content"] = _with_posts(final.inner(), posts(final), embeds)
     out["words"] = words(out["content"])
-    return out
+    return out | own if own and out["words"] <= own["words"] else out
+
+
+def _with_posts(markup: str, present: dict[str, str], embeds: dict[str, str]) -> str:
+    return markup + "".join(m for k, m in embeds.items() if k not in present)
+
+
+def _headline(root: Node) -> str:
+    head = (root.find("article") or root).find("h1") or root.find("h1")
+    return head.text() if head else ""

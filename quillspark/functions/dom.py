@@ -120,6 +120,16 @@ def _written(nodes: list[Node | str]) -> Iterator[str]:
                 stack.extend((c, False) for c in reversed(node.children))
 
 
+def first_below(nodes: list[Node], tag: str) -> dict[int, Node]:
+    """By id of an element, the first one of a tag below it; the elements are given in the order of the page."""
+    first: dict[int, Node] = {}
+    for n in reversed(nodes):
+        own = n if n.tag == tag else first.get(id(n))
+        if own is not None and n.parent is not None:
+            first[id(n.parent)] = own
+    return first
+
+
 def prune(root: Node, drop: Callable[[Node], bool]) -> None:
     """Take out every element below root for which drop() holds, with all below it."""
     stack = [root]

@@ -1,8 +1,8 @@
 """Pages to articles: one Arrow function reads the element tree once, what follows are DataFrame expressions.
 
 The reader gives what stands in the page (metadata, body, images and captions as they come). Which images are usable
-and in which order, what JSON-LD says, which image leads, and whether the site's own cleaner or the generic reader
-gives the better text, is decided on columns.
+and in which order, what JSON-LD says and which image leads is decided on columns. A page of a known site
+is read by the site's cleaner, unless that leaves few words and the generic reader finds more.
 """
 
 from __future__ import annotations
@@ -13,16 +13,15 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import article, json_ld, media, urls
 
-#: Hosts whose images come first, and the number of words below which a site's cleaner is doubted.
+#: Hosts whose images come first.
 FIRST_HOSTS = (
     "static1.srcdn.com", "static1.colliderimages.com", "static1.cbrimages.com", "static1.moviewebimages.com", "static0.gamerantimages.com", "static1.gamerantimages.com",
     "static2.gamerantimages.com", "static3.gamerantimages.com", "static1.thegamerimages.com",
 )
-MIN_WORDS = 150
 
 READ = (
     "struct<title:string,excerpt:string,shared_image:string,largest_image:string,json_ld:array<string>,videos:array<string>,raw_words:int,"
-    "body_tag:string,captions:map<string,string>,images:array<string>,content:string,words:int>"
+    "site:string,body_tag:string,captions:map<string,string>,images:array<string>,content:string,words:int>"
 )
 
 
@@ -46,11 +45,12 @@ def lead_image(read: Column, url: Column) -> Column:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, title, excerpt, content, words, body_tag, lead_image, images, captions, videos, schema) of every page."""
+    """(id, url, site, title, excerpt, content, words, body_tag, lead_image, images, captions, videos, schema) of every page."""
     read = pages.select(F.col(id_col), F.col(url_col).alias("url"), read_page(F.col(html_col), F.col(url_col)).alias("read"))
     led = read.withColumn("lead_image", lead_image(F.col("read"), F.col("url"))).withColumn("schema", json_ld.article_fields(F.col("read.json_ld")))
-    images = F.filter(ordered_images(F.col("read.images")), lambda u: F.coalesce(u != F.col("lead_image"), F.lit(True)))
+    found = F.when(F.col("read.site").isNull(), ordered_images(F.col("read.images"))).otherwise(F.col("read.images"))
+    images = F.filter(found, lambda u: F.coalesce(u != F.col("lead_image"), F.lit(True)))
     return led.select(
-        id_col, "url", "read.title", "read.excerpt", "read.content", "read.words", "read.body_tag", "lead_image",
+        id_col, "url", "read.site", "read.title", "read.excerpt", "read.content", "read.words", "read.body_tag", "lead_image",
         images.alias("images"), "read.captions", "read.videos", "schema",
     )

@@ -134,3 +134,26 @@ def test_cleaners(spark):
     got = [r.v for r in rows.select(cleaners.clean_page("h", "p").alias("v")).collect()]
     assert got[0].count("<p>") == 2 and "no" not in got[0] and "out" not in got[0] and "Three &amp; four" in got[0]
     assert "<div" not in got[1] and "One" in got[1] and got[2] is None
+
+    inside = '<h1>Head</h1><p class="read-more">gone by ad- pattern</p><p>A first paragraph with words.</p><figure><img src="/a-logo.png"></figure><figure><img src="/a.jpg?w=300"></figure><figure><p>none</p></figure><figure><img src="/good.jpg"><figcaption>The end of the film</figcaption></figure>'
+    inside += '<div class="related-content">r</div><div id="Sidebar">s</div><div data-is-tag-interaction="1">t</div><div data-stnl-x="1">u</div><div><p>kept outer</p><p>Please subscribe to us</p></div><blockquote class="twitter-tweet"><p>A post that is long enough</p></blockquote><ul><li>item</li></ul><svg></svg>'
+    for host, want in {
+        "comicbook.com": "Head A first paragraph with words. A post that is long enough item",
+        "screenrant.com": "Head A first paragraph with words. A post that is long enough item",
+        "static.gamerant.com": "Head A first paragraph with words. u A post that is long enough item",
+        "collider.com": "Head A first paragraph with words. u A post that is long enough item",
+        "variety.com": "Head A first paragraph with words. t u A post that is long enough item",
+        "www.hollywoodreporter.com": "Head A first paragraph with words. t u A post that is long enough item",
+        "movieweb.com": "A first paragraph with words. A post that is long enough item",
+        "lance.com.br": "gone by ad- pattern A first paragraph with words. none The end of the film kept outer Please subscribe to us A post that is long enough",
+    }.items():
+        page = f'<body><article><section class="article-body">{inside}</section></article></body>'
+        tree = cleaners.parse(cleaners.cleaned(page, host))
+        text = tree.text()
+        assert text == want, (host, text)
+        images = [i.get("src") for i in tree.all("img")]
+        assert images == (["/a-logo.png", "/a.jpg?w=300", "/good.jpg"] if host == "lance.com.br" else ["/good.jpg"]), host
+    ge = cleaners.cleaned('<article class="post-content"><p>later</p></article><div class="x materia-conteudo"><div class="video-player">v</div><p>one</p><div id="gm-widget-mais-escalados-root">w</div><script>s</script></div>', "ge.globo.com")
+    assert ge == '<div class="x materia-conteudo"><p>one</p></div>'
+    assert cleaners.cleaned("<p>no container</p>", "movieweb.com") is None and cleaners.cleaned(None, "ge.globo.com") is None
+    assert cleaners.cleaned('<div class="popup"><article><p>long enough for a paragraph</p></article></div>', "movieweb.com") is None

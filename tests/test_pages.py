@@ -97,6 +97,26 @@ def test_widest_and_absolute():
     assert dom.squeeze(" a\n b ") == "a b"
 
 
+def test_sites_and_their_fallback():
+    long = "<p>" + "word " * 160 + "</p>"
+    page = f'<head><title>t</title></head><body><article><div class="article-body"><h1>Top</h1><p>short but own text here</p></div></article><section><p>{long}</p></section></body>'
+    own = article.read(f'<article><div class="article-body">{long}</div></article>', "https://www.collider.com/a")
+    assert (own["site"], own["body_tag"], own["words"]) == ("collider.com", "div", 160)
+    # Few words of the site's own, but the generic reader takes the article too and finds no more.
+    assert article.read(page, "https://collider.com/a")["site"] == "collider.com"
+    # The container is a small box elsewhere; the generic reader finds the article.
+    boxed = f'<article>{long}</article><div class="article-body"><p>box</p></div>'
+    got = article.read(boxed, "https://collider.com/a")
+    assert got["site"] is None and got["words"] == 160
+    movie = article.read(f'<article><h1>Real title</h1>{long}<iframe src="https://youtu.be/abcdefghijk"></iframe></article>', "https://movieweb.com/x")
+    assert movie["title"] == "Real title" and movie["videos"] == ["abcdefghijk"] and movie["site"] == "movieweb.com"
+    for piece in ("<figure>", "<div><p>read more", "<ul><li>x", "<blockquote>word"):
+        start = time.perf_counter()
+        article.read("<article>" + piece * 8000, "https://movieweb.com/x")
+        article.read("<article>" + piece * 8000, "https://collider.com/x")
+        assert time.perf_counter() - start < 20, piece
+
+
 def test_odd_pages_through_spark(spark):
     from quillspark.operators import extraction
 
