@@ -8,11 +8,13 @@ It is fitted on the driver by AdaGrad on a bounded sample of labelled rows
 (MAX_TRAIN, a hash order of ids); every text is scored whole.
 
 Terms are screened before the fit, in Spark: a term stays if its presence depends
-on the label, among all rows of the sample or among those that hold a term of
-toxic rows. The second screen keeps terms that say nothing alone but do so beside
-an insult; a pair of which neither term depends on the label in either way is not
-seen. Only counts by term and the rows' screened terms reach the driver, at most
-KEPT bits a row, however long the texts are.
+on the label, among the distinct sets of terms in the sample (copies of a text count
+once, else a large group of them would make all its words look telling). So many
+terms are looked at that the dependence must be beyond doubt: none of BUCKETS terms
+independent of the label would show it but once in twenty times. A pair of which
+neither term depends on the label is not seen. Only counts by term and the rows'
+screened terms reach the driver, a bit for each term and row of the sample, however
+long the texts are.
 
 Edge cases: a null or empty text has no terms and gets the bias as its score;
 without labelled rows the score is 0.5 less a hair, so nothing is predicted
@@ -39,10 +41,8 @@ BUCKETS = 1 << 18
 FACTORS = 4
 #: Labelled rows that the machine is fitted on, at most.
 MAX_TRAIN = 10_000
-#: Terms that each screen keeps, at most, and the dependence on the label that a term must show.
-KEPT, CHI2 = 1024, 12.0
-#: Terms of toxic rows beside which others are looked at again.
-ANCHORS = 64
+#: Chi-square that none of BUCKETS terms independent of the label reaches but once in twenty times.
+SURE = 2 * float(np.log(BUCKETS / 0.05))
 PREFIXES = (3, 4, 5, 6)
 TERMS = 1 + len(PREFIXES)
 
@@ -100,12 +100,12 @@ def train_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str,
     return texts.join(F.broadcast(picked), F.col("_own") == F.col("_id")).select("_y", "_text").mapInArrow(run, "y int, terms array<int>")
 
 
-def screen(rows: DataFrame) -> list[tuple[int, bool]]:
-    """Terms whose presence depends on the label, and whether toxic rows hold them more: the KEPT with the largest chi-square at or above CHI2."""
+def screen(rows: DataFrame) -> np.ndarray:
+    """Terms whose presence depends on the label, ascending. The sample's size bounds how many pass."""
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     n, pos = float(total.n), float(total.pos)
     if pos in (0.0, n):
-        return []
+        return np.zeros(0, np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, a = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -121,16 +121,7 @@ def screen(rows: DataFrame) -> list[tuple[int, bool]]:
     expected = F.col("m") * (pos / n)
     spread = F.col("m") * (pos / n) * (1 - pos / n) * (1 - F.col("m") / n)
     chi2 = F.pow(F.greatest(F.abs(F.col("a") - expected) - 0.5, F.lit(0.0)), F.lit(2)) / F.greatest(spread, F.lit(1e-9))
-    best = counts.select("term", chi2.alias("chi2"), (F.col("a") > expected).alias("toxic")).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(KEPT)
-    return [(r.term, r.toxic) for r in best.collect()]
-
-
-def kept_terms(rows: DataFrame) -> np.ndarray:
-    """Both screens, ascending."""
-    alone = screen(rows)
-    anchors = [t for t, toxic in alone if toxic][:ANCHORS]
-    beside = screen(rows.where(F.arrays_overlap("terms", F.array(*map(F.lit, anchors))))) if anchors else []
-    return np.array(sorted({t for t, _ in alone + beside}), np.int64)
+    return np.array(sorted(r.term for r in counts.where(chi2 >= SURE).select("term").collect()), np.int64)
 
 
 def reduced(rows: DataFrame, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +173,7 @@ def fit(y: np.ndarray, own: np.ndarray, x: np.ndarray, used: np.ndarray, rounds:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text") -> Machine:
     bound_batches(docs.sparkSession)
     rows = written(train_rows(docs, labels, id_col, label_col, text_col), "labelled")
-    used = kept_terms(rows)
+    used = screen(rows.dropDuplicates(["y", "terms"]))
     return fit(*reduced(rows, used), used)
 
 

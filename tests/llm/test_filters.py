@@ -156,6 +156,27 @@ def test_toxicity_of_a_pair(spark):
     assert np.mean([got[i].predicted == y for i, _, y, *_ in rows if i in got]) > 0.97
 
 
+def test_toxicity_among_chance_terms(spark):
+    """3,000 rows with thousands of rare words, a group of copies that is half of the toxic rows, and long texts: chance words raise no alarm."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocab = ["".join(rng.choices(letters, k=rng.randint(4, 9))) for _ in range(9000)]
+    bad = ["".join(rng.choices(letters, k=7)) for _ in range(6)]
+    draw = lambda n: [vocab[min(int(rng.paretovariate(0.6)) - 1, 8999)] if rng.random() < 0.5 else rng.choice(vocab) for _ in range(n)]
+    copy = " ".join(draw(300) + [bad[0]])
+    rows = []
+    for i in range(3000):
+        toxic = i % 10 == 0
+        words = draw(rng.randint(20, 250)) + ([rng.choice(bad)] if toxic else [])
+        rng.shuffle(words)
+        rows.append((i, copy if toxic and i % 20 == 0 else " ".join(words), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(df, toxicity.learn(df, df)).collect() if r.held_out}
+    alarms = [i for i, _, y in rows if i in got and not y and got[i].predicted]
+    missed = [i for i, _, y in rows if i in got and y and not got[i].predicted]
+    assert len(got) > 500 and len(alarms) <= 1 and len(missed) <= 2, (alarms, missed)
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     vocab = [f"term{i}" for i in range(40000)]
