@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 from quillspark.functions import article, json_ld, media, urls
 
@@ -19,16 +20,19 @@ FIRST_HOSTS = (
     "static2.gamerantimages.com", "static3.gamerantimages.com", "static1.thegamerimages.com",
 )
 
-READ = (
-    "struct<title:string,excerpt:string,shared_image:string,largest_image:string,json_ld:array<string>,videos:array<string>,raw_words:int,"
-    "site:string,body_tag:string,captions:map<string,string>,images:array<string>,content:string,words:int>"
+_TEXTS, _NUMBERS = ("title", "excerpt", "shared_image", "largest_image", "site", "body_tag", "content"), ("raw_words", "words")
+READ = StructType(
+    [StructField(c, StringType()) for c in _TEXTS]
+    + [StructField(c, IntegerType()) for c in _NUMBERS]
+    + [StructField(c, ArrayType(StringType())) for c in ("json_ld", "videos", "images")]
+    + [StructField("captions", MapType(StringType(), StringType()))]
 )
 
 
 @F.pandas_udf(READ)
 def read_page(page: pd.Series, url: pd.Series) -> pd.DataFrame:
     """What the generic reader finds; a NULL page reads as an empty one."""
-    return pd.DataFrame([article.read(p, u) for p, u in zip(page, url, strict=True)])
+    return pd.DataFrame([article.read(p, u) for p, u in zip(page, url, strict=True)], columns=READ.names)
 
 
 def ordered_images(found: Column) -> Column:
