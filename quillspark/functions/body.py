@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from quillspark.functions import names
 from quillspark.functions.article import widest
-from quillspark.functions.dom import HEADINGS, Node, first_below, parse, prune, squeeze
+from quillspark.functions.dom import HEADINGS, VOID, Node, first_below, parse, prune, squeeze
 
 #: Elements whose text takes no links.
 UNLINKED = HEADINGS | frozenset("a blockquote code pre figure figcaption script style".split())
@@ -390,3 +390,37 @@ def images_stacked(markup: str | None) -> bool:
         if run >= 2:
             return True
     return False
+
+
+# --- Cutting ---------------------------------------------------------------
+
+
+def cut(markup: str | None, most: int) -> str:
+    """The body up to so many visible characters (white space squeezed), at a space where that costs little, all elements closed and none empty."""
+    if not markup or most <= 0:
+        return ""
+    out, left = Node("#cut"), most
+    stack: list[tuple[Node | str, Node]] = [(c, out) for c in reversed(parse(markup).children)]
+    while stack and left > 0:
+        node, into = stack.pop()
+        if isinstance(node, str):
+            text = re.sub(r"\s+", " ", node)
+            if len(text) > left:
+                text = text[:left]
+                space = text.rfind(" ")
+                text = (text[:space] if space >= max(1, int(left * 0.8)) else text).rstrip()
+                left = 0
+            if text:
+                into.append(text)
+            left = max(left - len(text), 0)
+        elif node.tag not in ("script", "style", "noscript"):
+            copy = Node(node.tag, node.attrs)
+            into.append(copy)
+            stack.extend((c, copy) for c in reversed(node.children))
+    nodes = list(out.walk())
+    filled: set[int] = set()
+    for n in reversed(nodes):
+        if n.tag in VOID or id(n) in filled or any(isinstance(c, str) for c in n.children):
+            filled |= {id(n), id(n.parent)}
+    prune(out, lambda n: id(n) not in filled)
+    return out.inner()

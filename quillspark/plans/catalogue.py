@@ -571,4 +571,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.join(found, "page_id", "left").groupBy("extraction", "entry", "reason").agg(F.count("*").alias("n"))
 
 
-from quillspark.plans import answers, articles, bodies, names, pages, rules  # noqa: E402, F401  they register their queries here
+from quillspark.plans import answers, articles, bodies, history, names, pages, rules  # noqa: E402, F401  they register their queries here
