@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontam, ngram_join, pii, quality
-from quillspark.llm.common import table, written
+from quillspark.llm.common import table, tidy, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without words have no near duplicates and all stay.
     """
+    tidy(spark)
     keyed, key = _keyed(docs)
     classes = ngram_join.classes(keyed, key)
     kept = classes.where(F.col(key) == F.col("component_id")).groupBy(key).agg((F.max("n_shingles") > 0).alias("words"), F.count("*").alias("n"))
@@ -48,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found. The list of others is written first, so that its size decides how it is joined."""
+    tidy(spark)
     keyed, key = _keyed(docs)
     leaks = decontam.contaminated(keyed, table(spark, sf_dir, "benchmark"), key).select(key).distinct()
     return keyed.join(written(leaks, "leaks"), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
@@ -55,11 +57,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data and secrets masked."""
+    tidy(spark)
     return pii.redact(docs, pii.train(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens) of every document that is left."""
+    tidy(spark)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 

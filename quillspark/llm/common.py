@@ -8,6 +8,8 @@ lineage into tables that survive the loss of executors.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -91,6 +93,21 @@ def drop(*tables: DataFrame) -> None:
                 hadoop.getFileSystem(own[0].sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Give back what earlier work left in the driver: dead objects of Python and Java, and pages that their allocators hold.
+
+    A long job of many stages otherwise keeps the memory of its greedy stages while it runs the others. Shuffles and broadcasts
+    that nothing refers to any more are dropped with them.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # an allocator of another kind
+        pass
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def slices(batches, col: int, size: int = 6_000_000):
     """The batches, cut so that a column of texts has at most about `size` bytes in each; a longer text stands alone."""
     for b in batches:
