@@ -50,13 +50,17 @@ def summary(state: DataFrame, by: list[str]) -> DataFrame:
 
 def integrity(log: DataFrame, state: DataFrame, batch: Column) -> DataFrame:
     """(batch, day, api_type, model, status OK, MISSING, STALE or UNKNOWN) of every part of the log and of the state: held against a fresh count."""
-    fresh = partial(log, batch).select("batch", *KEYS, F.struct(*SUMS).alias("_log"))
-    kept = state.select("batch", *KEYS, F.struct(*SUMS).alias("_state"))
+    keys = ["batch", *KEYS]
+    fresh = partial(log, batch).select(*keys, F.struct(*SUMS).alias("_log")).alias("f")
+    kept = state.select(*keys, F.struct(*SUMS).alias("_state")).alias("s")
     status = F.when(F.col("_state").isNull(), "MISSING").when(F.col("_log").isNull(), "UNKNOWN").when(F.col("_log") != F.col("_state"), "STALE").otherwise("OK")
-    return fresh.join(kept, ["batch", *KEYS], "full").select("batch", *KEYS, status.alias("status"))
+    # Calls of no API or model are a part like any other.
+    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    return fresh.join(kept, same, "full").select(*[F.coalesce(f"f.{k}", f"s.{k}").alias(k) for k in keys], status.alias("status"))
 
 
 def gate_metrics(rules: Column) -> Column:
     """array<struct<code, metrics map<string,string>>> as one map of code.metric, in order of code and metric."""
     named = F.transform(rules, lambda r: F.transform(F.map_entries(F.coalesce(r["metrics"], F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.concat(r["code"], F.lit("."), e["key"]).alias("key"), e["value"].alias("value"))))
-    return F.map_from_entries(F.array_sort(F.flatten(named)))
+    by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    return F.map_from_entries(F.array_sort(F.flatten(named), by_key))
