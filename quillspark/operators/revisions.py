@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def decide(deliveries: DataFrame, key: str = "event_key", revision: str = "revision", digest: str = "payload_hash", arrival: str = "seq") -> DataFrame:
-    """Adds decision and missing (revisions skipped) to deliveries in order of arrival.
+    """Adds decision, and missing_from and missing_to (the first and the last of the revisions skipped, or NULLs), to deliveries in order of arrival.
 
     The first arrival of a revision is stored whatever its decision, and a later one of the same revision is compared
     with it: so an old revision delivered again unchanged is a duplicate, not stale.
@@ -27,8 +27,8 @@ def decide(deliveries: DataFrame, key: str = "event_key", revision: str = "revis
         .otherwise("ACCEPT_NEW_REVISION")
     )
     gap = (decision == "ACCEPT_NEW_REVISION") & (F.col(revision) > F.col("_max") + 1)
-    missing = F.when(gap, F.sequence(F.col("_max") + 1, F.col(revision) - 1)).otherwise(F.array().cast(f"array<{dict(deliveries.dtypes)[revision]}>"))
-    return rows.withColumn("missing", missing).withColumn("decision", decision).drop("_nth", "_first", "_max")
+    rows = rows.withColumn("missing_from", F.when(gap, F.col("_max") + 1)).withColumn("missing_to", F.when(gap, F.col(revision) - 1))
+    return rows.withColumn("decision", decision).drop("_nth", "_first", "_max")
 
 
 def with_ledger(ledger: DataFrame, batch: DataFrame) -> DataFrame:

@@ -302,8 +302,8 @@ def revision_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {DELIVERIES} select event_key, seq, m as missing from (select event_key, seq, unnest(range(pm + 1, revision)) as m from x where decision = 'ACCEPT_NEW_REVISION' and revision > pm + 1)")
 def revision_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = revisions.decide(_deliveries(spark, sf_dir))
-    return d.select("event_key", "seq", F.explode("missing").alias("missing")).withColumn("missing", F.col("missing").cast("long"))
+    d = revisions.decide(_deliveries(spark, sf_dir)).where("missing_from is not null")
+    return d.select("event_key", "seq", F.explode(F.sequence(F.col("missing_from").cast("long"), F.col("missing_to").cast("long"))).alias("missing"))
 
 
 @query(f"with {DELIVERIES} select source_id, max_by(cursor, seq) as cursor, max_by(event_key, seq) as event_key, max_by(revision, seq) as revision from x where decision in ('ACCEPT_NEW_EVENT','ACCEPT_NEW_REVISION','DUPLICATE') and cursor is not null group by 1")

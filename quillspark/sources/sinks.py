@@ -46,12 +46,18 @@ def submit_drafts(df: DataFrame, path: str, key: str = "draft_id", digest: str =
 
 
 def batch_writer(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: append-if-absent by key."""
+    """For foreachBatch: append-if-absent by key, a folder for each batch, committed at the end.
 
-    def write(df: DataFrame, batch: int) -> None:
-        append_absent(df, path, keys)
+    A batch that was committed is left alone; one that was interrupted replaces what it has left. Only keys of committed batches are
+    read, not whole rows. Rows are read back by `routing.table(spark, path, "rows", schema)`.
+    """
+    from quillspark.streaming import routing
+
+    def fresh(df: DataFrame, batch: int) -> DataFrame:
+        kept = routing.table(df.sparkSession, path, "rows", df.schema).select(*keys)
+        return absent(df, kept, keys).withColumn("target", F.lit("rows"))
 
-    return write
+    return routing.fan_out(path, fresh, ("rows",))
 
 
 #: Sinks by mode; a mode that publishes is refused by name.

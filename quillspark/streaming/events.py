@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-DECIDED = "event_key string, seq long, revision int, payload_hash string, decision string, missing array<int>"
+DECIDED = "event_key string, seq long, revision int, payload_hash string, decision string, missing_from int, missing_to int"
 _STATE = "top int, revisions array<int>, hashes array<string>"
 
 
@@ -34,34 +34,48 @@ def tumbling(df: DataFrame, keys: list[str], time: str = "ts", width: str = "1 d
     return w.select(F.col("window.start").alias("start"), *keys, "n")
 
 
-def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        top, numbers, hashes = state.get
-        known = dict(zip(numbers, hashes, strict=True))
-    else:
-        top, known = None, {}
-    rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for seq, revision, digest in zip(rows["seq"], rows["revision"], rows["payload_hash"], strict=True):
-        digest, missing = (digest or "").strip().lower(), []
-        if top is None:
-            decision = "ACCEPT_NEW_EVENT"
-        elif revision in known:
-            decision = "DUPLICATE" if known[revision] == digest else "REVISION_HASH_CONFLICT"
-        elif revision < top:
-            decision = "STALE_REVISION"
+def _decider(forget_ms: int | None):
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if state.exists:
+            top, numbers, hashes = state.get
+            known = dict(zip(numbers, hashes, strict=True))
         else:
-            decision, missing = "ACCEPT_NEW_REVISION", list(range(top + 1, revision))
-        known.setdefault(int(revision), digest)
-        top = int(revision) if top is None else max(top, int(revision))
-        out.append((key[0], seq, revision, digest, decision, missing))
-    state.update((top, list(known), list(known.values())))
-    yield pd.DataFrame(out, columns=["event_key", "seq", "revision", "payload_hash", "decision", "missing"])
-
-
-def revision_decisions(deliveries: DataFrame) -> DataFrame:
-    """Decisions for a stream of (event_key, seq, revision, payload_hash): the state of a key is its highest revision and the hash of each stored one."""
-    return deliveries.groupBy("event_key").applyInPandasWithState(_decide, DECIDED, _STATE, "append", GroupStateTimeout.NoTimeout)
+            top, known = None, {}
+        rows = pd.concat(list(batches)).sort_values("seq")
+        out = []
+        for seq, revision, digest in zip(rows["seq"], rows["revision"], rows["payload_hash"], strict=True):
+            digest, skipped = (digest or "").strip().lower(), (None, None)
+            if top is None:
+                decision = "ACCEPT_NEW_EVENT"
+            elif revision in known:
+                decision = "DUPLICATE" if known[revision] == digest else "REVISION_HASH_CONFLICT"
+            elif revision < top:
+                decision = "STALE_REVISION"
+            else:
+                decision, skipped = "ACCEPT_NEW_REVISION", (top + 1, revision - 1) if revision > top + 1 else (None, None)
+            known.setdefault(int(revision), digest)
+            top = int(revision) if top is None else max(top, int(revision))
+            out.append((key[0], seq, revision, digest, decision, *skipped))
+        state.update((top, list(known), list(known.values())))
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
+        frame = pd.DataFrame(out, columns=["event_key", "seq", "revision", "payload_hash", "decision", "missing_from", "missing_to"])
+        yield frame.astype({"missing_from": "Int32", "missing_to": "Int32"})
+
+    return decide
+
+
+def revision_decisions(deliveries: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """Decisions for a stream of (event_key, seq, revision, payload_hash): the state of a key is its highest revision and the hash of each stored one.
+
+    With forget_ms, a key that has had no delivery for so long is dropped from the state, and would be new if it came again: choose it
+    longer than events are delivered late, or decide against a ledger (`routing`), which keeps no state. Without it, every key is kept.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout
+    return deliveries.groupBy("event_key").applyInPandasWithState(_decider(forget_ms), DECIDED, _STATE, "append", timeout)
 
 
 def accepted(decided: DataFrame) -> DataFrame:

@@ -70,17 +70,17 @@ def test_legacy(spark):
 def test_revisions_equal_a_fold(spark):
     rng = random.Random(3)
     rows = [(i, rng.randint(0, 12), rng.randint(1, 6), rng.choice("ab")) for i in range(500)]
-    got = {r.seq: (r.decision, list(r.missing)) for r in revisions.decide(spark.createDataFrame(rows, "seq long, event_key int, revision int, payload_hash string")).collect()}
+    got = {r.seq: (r.decision, r.missing_from, r.missing_to) for r in revisions.decide(spark.createDataFrame(rows, "seq long, event_key int, revision int, payload_hash string")).collect()}
     top, known = {}, {}
     for seq, key, rev, h in rows:
         if key not in top:
-            want = ("ACCEPT_NEW_EVENT", [])
+            want = ("ACCEPT_NEW_EVENT", None, None)
         elif (key, rev) in known:
-            want = ("DUPLICATE" if known[key, rev] == h else "REVISION_HASH_CONFLICT", [])
+            want = ("DUPLICATE" if known[key, rev] == h else "REVISION_HASH_CONFLICT", None, None)
         elif rev < top[key]:
-            want = ("STALE_REVISION", [])
+            want = ("STALE_REVISION", None, None)
         else:
-            want = ("ACCEPT_NEW_REVISION", list(range(top[key] + 1, rev)))
+            want = ("ACCEPT_NEW_REVISION", *((top[key] + 1, rev - 1) if rev > top[key] + 1 else (None, None)))
         assert got[seq] == want
         known.setdefault((key, rev), h)
         top[key] = max(top.get(key, 0), rev)

@@ -47,7 +47,7 @@ def test_stream_decisions_equal_batch(spark, tmp_path):
     rows = [(i, f"k{rng.randint(0, 5)}", rng.randint(1, 5), rng.choice("ab")) for i in range(120)]
     schema = "seq long, event_key string, revision int, payload_hash string"
     df = spark.createDataFrame(rows, schema)
-    want = {r.seq: (r.decision, list(r.missing)) for r in revisions.decide(df).collect()}
+    want = {r.seq: (r.decision, r.missing_from, r.missing_to) for r in revisions.decide(df).collect()}
     for part in range(3):
         df.where(f"seq div 40 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = events.revision_decisions(events.read(spark, str(tmp_path / "in"), df.schema))
@@ -55,7 +55,44 @@ def test_stream_decisions_equal_batch(spark, tmp_path):
     q = got.writeStream.format("memory").queryName("decided").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert {r.seq: (r.decision, list(r.missing)) for r in spark.table("decided").collect()} == want
+    assert {r.seq: (r.decision, r.missing_from, r.missing_to) for r in spark.table("decided").collect()} == want
+
+
+def test_state_of_keys_is_forgotten(spark, tmp_path):
+    """A key without deliveries for longer than the limit leaves the state; a gap of two thousand million revisions is two numbers."""
+    import time
+
+    schema = "seq long, event_key string, revision int, payload_hash string"
+    land = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    def run(*rows):
+        land(*rows)
+        got = events.revision_decisions(events.read(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), forget_ms=1000)
+        q = got.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+        # With such a timeout a stream is never done: it looks for keys to forget without new rows.
+        for _ in range(80):
+            time.sleep(0.5)
+            if any(p.numInputRows for p in q.recentProgress):
+                break
+        q.stop()
+
+    run((1, "a", 1, "x"), (2, "a", 2_000_000_000, "y"))
+    time.sleep(2)
+    run((3, "b", 1, "x"))
+    run((4, "a", 1, "z"))
+    got = {r.seq: (r.decision, r.missing_from, r.missing_to) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[2] == ("ACCEPT_NEW_REVISION", 2, 1_999_999_999) and got[4][0] == "ACCEPT_NEW_EVENT"
+
+
+def test_batches_are_appended_once(spark, tmp_path):
+    from quillspark.streaming import routing
+
+    path = str(tmp_path / "t")
+    batch = lambda *rows: spark.createDataFrame(rows, "k string, v int")
+    write = sinks.batch_writer(path, ["k"])
+    write(batch(("a", 1), ("b", 1)), 0)
+    write(batch(("c", 9)), 0)  # a committed batch that comes again
+    write(batch(("a", 2), ("d", 2)), 1)
+    assert sorted(tuple(r) for r in routing.table(spark, path, "rows", batch(("", 0)).schema).collect()) == [("a", 1), ("b", 1), ("d", 2)]
 
 
 def test_stream_dedupe_and_windows(spark, tmp_path):
