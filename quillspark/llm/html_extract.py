@@ -31,9 +31,10 @@ from quillspark.llm.common import bound_batches
 #: Pages whose tokens train the weights, at most.
 MAX_TRAIN = 4000
 
+#: Outside quotes a tag ends at the next < if no > comes before, so that no part of a page is looked at again and again.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>|<(?P<close>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<[!?][^<>]*>|<(?P<close>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?=<))|(?P<text>[^<]+|<)",
     re.I | re.S,
 )
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -48,6 +49,9 @@ JUNK_WORDS = frozenset(
     "disqus respond replies cookie cookies consent notice newsletter subscribe signup login share sharing social related recommended popup modal widget contentinfo complementary search pagination pager".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p blockquote pre".split())
+#: Attributes of an element that has no content; a slash that ends an unquoted value is part of it.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 #: An element that is open when one of these starts is closed first: omitted end tags.
 _CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 
@@ -70,25 +74,30 @@ def tokens(page: str) -> tuple[list[tuple[str, int, str, int, bool]], bool]:
     """(place, words, text, block, inside a named main region) of each run of text and tag, and whether exactly one such region was named."""
     out: list[tuple[str, int, str, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, junk, main
+    opened: Counter[str] = Counter()  # how many of each element are open
+    around: list[str] = []  # places of the open headings and paragraphs
     block, regions, junk, main, link = 0, 0, 0, 0, 0
 
     def pop() -> None:
         nonlocal junk, main, link
         tag, j, m = stack.pop()
         junk, main, link = junk - j, main - m, link - (tag == "a")
+        opened[tag] -= 1
+        if tag in HEADINGS or tag in PARAGRAPHS:
+            around.pop()
 
     for m in _TOKEN.finditer(page):
         if m["text"] is not None:
             text = m["text"]
             words = len(text.split())
-            place = "w:junk" if junk else "w:link" if link else next(("w:heading" if t in HEADINGS else "w:p" for t, _, _ in reversed(stack) if t in HEADINGS or t in ("p", "blockquote", "pre")), "w:other")
+            place = "w:junk" if junk else "w:link" if link else around[-1] if around else "w:other"
             out.append((place, words, text, block, main > 0))
             continue
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
         if m["close"]:
-            if any(t == tag for t, _, _ in stack):
+            if opened[tag]:
                 was_junk = junk > 0
                 while stack[-1][0] != tag:
                     pop()
@@ -106,8 +115,11 @@ def tokens(page: str) -> tuple[list[tuple[str, int, str, int, bool]], bool]:
             is_main = tag in ("article", "main") and not junk
             if is_main and not main:
                 regions += 1
-            if tag not in VOID and not m["attrs"].endswith("/"):
+            if tag not in VOID and not _CLOSED.search(m["attrs"]):
                 stack.append((tag, j, is_main))
+                opened[tag] += 1
+                if tag in HEADINGS or tag in PARAGRAPHS:
+                    around.append("w:heading" if tag in HEADINGS else "w:p")
                 junk, main, link = junk + j, main + is_main, link + (tag == "a")
             was_junk = junk > 0
         if tag in BLOCKS:

@@ -106,6 +106,24 @@ def test_extraction(spark):
     assert html_extract.extract(df.limit(0), html_extract.learn(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a b="', "<div>x", "<!", "<p><b>", "</p>", "<script ", "<h1>x", "<a 'b\"", "<p class= "])
+def test_malformed_pages_take_time_in_proportion(piece):
+    """A page of 1 MB of unclosed tags, quotes and elements is read in seconds."""
+    import time
+
+    page = "<article><p>before the trouble begins</p>" + piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    html_extract.extract_text(page, html_extract.FALLBACK)
+    assert time.perf_counter() - start < 20
+
+
+def test_broken_tags():
+    text = lambda page: html_extract.extract_text(page, html_extract.FALLBACK)
+    assert text("<article><p>one two three <a href=x <b>four</b> five</p></article>") == "one two three four five"
+    assert text("<article><p>a <a href=/b/>linked words</a> and more words here</p></article>") == "a linked words and more words here"
+    assert text("<p>three < four and five > two, is it not</p>") == "three < four and five > two, is it not"
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
