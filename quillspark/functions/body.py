@@ -49,7 +49,26 @@ class Link:
         return self.title or next((k.strip() for k in self.keywords if k.strip()), "Leia tambem")
 
 
-def add_links(markup: str | None, links: list[Link], categories: frozenset[int] = frozenset(), most: int = 6) -> tuple[str | None, list[str]]:
+class Linker:
+    """Pages in the order in which an article of some categories would link to them, and the dictionary of their keywords."""
+
+    def __init__(self, links: list[Link], categories: frozenset[int] = frozenset()) -> None:
+        self.tier = lambda x: 0 if x.pillar else 1 if categories & x.categories else 2
+        self.ordered = sorted((x for x in links if x.keywords and x.url), key=lambda x: (self.tier(x), x.rank))
+        # Keys of the dictionary, and for each the pages that have it with the keyword's place among theirs.
+        of: dict[str, list[tuple[int, int, str]]] = {}
+        for k, link in enumerate(self.ordered):
+            for n, word in enumerate(sorted((w for w in link.keywords if w.strip()), key=len, reverse=True)):
+                of.setdefault(names._plain(word)[0].strip(), []).append((k, n, word))
+        self.pages = list(of.values())
+        self.dictionary = names.automaton.__wrapped__(tuple(of))
+
+    def first(self) -> Link:
+        """The page to fall back to."""
+        return next((x for x in self.ordered if self.tier(x) == 1), None) or self.ordered[0]
+
+
+def add_links(markup: str | None, links: list[Link] | Linker, categories: frozenset[int] = frozenset(), most: int = 6) -> tuple[str | None, list[str]]:
     """The body with links to other pages, and the pages linked, in order.
 
     Texts outside links, headings, quotations, code and figures are taken in order; in each the first keyword of the best page that
@@ -57,17 +76,10 @@ def add_links(markup: str | None, links: list[Link], categories: frozenset[int]
     takes one link, a body `most`. If no keyword occurs, a paragraph with a link to the first page of the article's categories,
     else the first pillar, else the first page, follows the second paragraph.
     """
-    usable = [x for x in links if x.keywords and x.url]
-    if not markup or not usable:
+    linker = links if isinstance(links, Linker) else Linker(links, categories)
+    ordered = linker.ordered
+    if not markup or not ordered:
         return markup, []
-    tier = lambda x: 0 if x.pillar else 1 if categories & x.categories else 2
-    ordered = sorted(usable, key=lambda x: (tier(x), x.rank))
-    # Keys of the dictionary, and for each the pages that have it with the keyword's place among theirs.
-    of: dict[str, list[tuple[int, int, str]]] = {}
-    for k, link in enumerate(ordered):
-        for n, word in enumerate(sorted((w for w in link.keywords if w.strip()), key=len, reverse=True)):
-            of.setdefault(names._plain(word)[0].strip(), []).append((k, n, word))
-    keys = tuple(of)
     root, used, done = parse(markup), set(), []
     changed: dict[int, dict[int, list[Node | str]]] = {}
     for node, i in _texts(root):
@@ -75,8 +87,8 @@ def add_links(markup: str | None, links: list[Link], categories: frozenset[int]
             break
         text = node.children[i]
         best = None
-        for a, z, key in names.matches(text, keys, overlaps=True):
-            for k, n, word in of[keys[key]]:
+        for a, z, key in names.found_by(linker.dictionary, text, overlaps=True):
+            for k, n, word in linker.pages[key]:
                 if ordered[k].url not in used:
                     best = min(best, (k, n, a, z, word)) if best else (k, n, a, z, word)
                     break
@@ -89,7 +101,7 @@ def add_links(markup: str | None, links: list[Link], categories: frozenset[int]
         if id(node) in changed:
             node.children = [x for i, c in enumerate(node.children) for x in changed[id(node)].get(i, [c])]
     if not done and most > 0:
-        first = next((x for x in ordered if tier(x) == 1), None) or ordered[0]
+        first = linker.first()
         again = _element("p", "Leia tambem: ")
         again.append(_element("a", first.label, href=first.url))
         paragraphs = root.all("p")

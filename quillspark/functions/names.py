@@ -51,7 +51,11 @@ def automaton(names: tuple[str, ...]) -> ahocorasick.Automaton:
 
 def matches(text: str | None, names: tuple[str, ...], overlaps: bool = False) -> list[tuple[int, int, int]]:
     """(start, end, place of the name) of the names in a text, in order."""
-    auto = automaton(names)
+    return found_by(automaton(names), text, overlaps)
+
+
+def found_by(auto: ahocorasick.Automaton, text: str | None, overlaps: bool = False) -> list[tuple[int, int, int]]:
+    """matches() by an automaton that is at hand."""
     if not text or not len(auto):
         return []
     plain, at = _plain(text)

@@ -114,7 +114,10 @@ def link_bodies(articles: DataFrame, links: DataFrame, html_col: str = "html", c
 
         @F.pandas_udf(LINKED)
         def run(html: pd.Series, categories: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([body.add_links(h, sent.value, frozenset(_listed(c)), most) for h, c in zip(html, categories, strict=True)], columns=LINKED.names)
+            wanted = [frozenset(_listed(c)) for c in categories]
+            # One dictionary for each set of categories in the batch.
+            linkers = {c: body.Linker(sent.value, c) for c in set(wanted)}
+            return pd.DataFrame([body.add_links(h, linkers[c], c, most) for h, c in zip(html, wanted, strict=True)], columns=LINKED.names)
 
         linked = articles.withColumn("_linked", run(F.col(html_col), own))
     else:
