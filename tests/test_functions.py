@@ -46,6 +46,11 @@ def test_urls(one):
     assert [one(urls.large_enough, u) for u in ("https://a/i-300x200.jpg", "https://a/i.jpg?width=1200&height=800", "https://a/i.jpg", "https://a/i-2000x400.jpg")] == [False, True, True, False]
 
 
+def test_sentences_keep_digits_that_equal_their_place(one):
+    assert one(text.sentences, "0 a. 1 b1. 23.5 c2! ") == ["0 a.", "1 b1.", "23.5 c2!"]
+    assert one(text.sentences, " a.  b ") == ["a.", "b"]
+
+
 def test_text(one):
     assert one(text.title_key, ' "Olá", Mundo!  É ') == "olá mundo é"
     assert one(text.comparison_key, "«Estreia Confirmada.» ") == "estreia confirmada"
