@@ -73,7 +73,9 @@ def _settle(own: pd.DataFrame) -> pd.DataFrame:
 
 #: Patterns of capitalised sequences and years, known studios, and words that only begin sentences.
 _CAPITAL = r"(?:[A-ZÁÀÂÃÉÊÍÓÔÕÚÇ][\wÁÀÂÃÉÊÍÓÔÕÚÇáàâãéêíóôõúç'’.-]*|[A-Z]{2,})"
-SEQUENCE = rf"(?U)\b({_CAPITAL}(?:\s+(?:(?:of|the|and|de|da|do|das|dos|e|&)\s+)*{_CAPITAL})*)"
+#: The loops are possessive: Java matches other loops by recursion, and a long run of capitalised words would end the stack and the executor.
+#: Nothing is lost, since what follows a loop never begins as another round of it does.
+SEQUENCE = rf"(?U)\b({_CAPITAL}(?:\s+(?:(?:of|the|and|de|da|do|das|dos|e|&)\s+)*+{_CAPITAL})*+)"
 YEAR = r"(?U)\b((?:19|20)[0-9]{2})\b"
 STUDIOS = ("Warner Bros.", "Warner Bros. Pictures", "DC Studios", "DC Universe", "Marvel Studios", "Sony Pictures", "20th Century Studios", "Universal Pictures", "Paramount Pictures", "Walt Disney Pictures", "Netflix", "Prime Video", "HBO Max", "Max", "Disney+")
 STARTERS = ("A", "O", "Os", "As", "Um", "Uma", "Após", "Com", "De", "Em", "No", "Na", "Para", "Por", "Quando", "Se", "Segundo", "Enquanto", "Isso", "Esse", "Essa", "Dessa", "Desse", "Além", "Mas", "Já", "Também", "Ainda", "Outro", "Nova", "Novo")
@@ -105,9 +107,9 @@ def capitalised(text: Column) -> Column:
 
 
 def mentions(text: Column) -> Column:
-    """Names of a plain text in the order in which they are looked for: known studios, years, capitalised sequences and their parts."""
+    """Names of a plain text in the order in which they are looked for: known studios as whole words, years, capitalised sequences and their parts."""
     plain = F.coalesce(text, F.lit(""))
-    studios = F.array_compact(F.array(*[F.nullif(F.regexp_extract(plain, "(?iu)" + re.escape(s), 0), F.lit("")) for s in STUDIOS]))
+    studios = F.array_compact(F.array(*[F.nullif(F.regexp_extract(plain, rf"(?iuU)(?<!\w){re.escape(s)}(?!\w)", 0), F.lit("")) for s in STUDIOS]))
     years = F.regexp_extract_all(plain, F.lit(YEAR), 1)
 
     def parts(n: Column) -> Column:

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.functions import names
 from quillspark.operators import entities
@@ -87,3 +88,15 @@ def test_corrections_guard_and_apply(spark):
     assert {("Pedro Pascall", "Pedro Pascal", "FIX", None), ("Marvl Studios", "Marvel Studios", "FIX", None), ("Pedra Pascal", "Pedro Pascal", "WARN", "first_name_diff"), ("Tom Holland", "Tom Holland's", "WARN", "english_possessive_only")} <= got
     out = sorted((r.id, r.text or "", r.other) for r in entities.corrected(texts, fixes, "id").collect())
     assert out == [(1, "viu Pedro Pascal", "w"), (1, "viu Pedro Pascal, Pedro Pascal; Marvel Studios, com Pedra Pascal. viu Tom Holland.", "x"), (2, "viu Pedro Pascall", "y"), (3, "", "z")]
+
+
+def test_a_long_run_of_capitals_is_one_name(spark):
+    given = [(1, "vi " + "Ouat " * 50_000 + "de Rio, e Sol"), (2, "vi A " + "de da " * 50_000 + "Rio Bom")]
+    got = {r.id: r.names for r in spark.createDataFrame(given, "id long, text string").select("id", entities.capitalised(F.col("text")).alias("names")).collect()}
+    assert got == {1: ["Ouat " * 50_000 + "de Rio"], 2: ["A " + "de da " * 50_000 + "Rio Bom"]}
+
+
+def test_a_studio_inside_a_word_is_none(spark):
+    given = [(1, "a key AKIAS3V7MAXP2 here"), (2, "na Max, agora; a Disney+ e a Warner Bros. de novo")]
+    got = {(r.id, r.key) for r in entities.canonical_entities(spark.createDataFrame(given, "id long, text string"), "id").collect()}
+    assert {k for i, k in got if i == 1} == {"akias3v7maxp2"} and {"max", "disney+", "warner bros."} <= {k for i, k in got if i == 2}
