@@ -93,6 +93,19 @@ def drop(*tables: DataFrame) -> None:
                 hadoop.getFileSystem(own[0].sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Rows of a table that a join may send to all tasks; the driver holds them meanwhile.
+SENT = 50_000
+
+
+def met(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A table as the right side of a join: sent to all tasks if it has few rows, else merged by key.
+
+    Spark alone would go by bytes, compressed ones of files and shuffles, and the driver holds a table of ten such megabytes as
+    hundreds. rows: the table's, where they are known; the table is counted else, so it should be a written one.
+    """
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= SENT else df.hint("merge")
+
+
 def tidy(spark: SparkSession) -> None:
     """Give back what earlier work left in the driver: dead objects of Python and Java, and pages that their allocators hold.
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bound_batches, coded, drop, hash_words, mix, owner, runs, split_words, unzipped, written, zipped
+from quillspark.llm.common import SENT, bound_batches, coded, drop, hash_words, met, mix, owner, runs, split_words, tidy, unzipped, written, zipped
 from quillspark.llm.components import components
 
 WORDS = 5
@@ -48,8 +48,8 @@ SKETCH, BLOCKS = 1 << 24, 64
 _SHIFT = np.uint64(64 - 24)
 #: Nodes that meet in one task, at most about; larger groups are cut into blocks.
 GROUP = 1024
-#: Leaders that are sent to all tasks (16 bytes each), and the tasks that a leader is dealt to beyond.
-SENT, SALTS = 500_000, 64
+#: Tasks that a leader is dealt to if there are too many leaders to be sent to all tasks.
+SALTS = 64
 #: Documents behind an n-gram, by the sketch, above which its bucket is split by pairs of salts.
 HOT = 1 << 17
 #: Prefix n-grams that one bucket holds, about, and that a task packs at a time.
@@ -138,9 +138,9 @@ def _levels(scanned: DataFrame) -> np.ndarray:
             level = np.minimum(np.round(4 * np.log2(1.0 + total)), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([t.column("block").combine_chunks().slice(0, 1), pa.array([level.tobytes()], pa.binary())], ["block", "level"])
 
-    parts = scanned.where("kind = 1").select("block", "data").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, level binary").collect()
+    parts = scanned.where("kind = 1").select("block", "data").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, level binary")
     out = np.zeros((BLOCKS, SKETCH // BLOCKS), np.uint8)
-    for r in parts:
+    for r in written(parts, "levels").toLocalIterator():  # a few blocks at a time
         out[r.block] = np.frombuffer(r.level, np.uint8)
     return out.reshape(-1)
 
@@ -369,7 +369,7 @@ def _by_leader(rows: DataFrame, leaders: DataFrame, how: str, name: str = "leade
     if leaders.count() <= SENT:
         return rows.join(F.broadcast(leaders), name, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")).join(leaders.withColumn("salt", salts), [name, "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")).join(leaders.withColumn("salt", salts).hint("merge"), [name, "salt"], how).drop("salt")
 
 
 def _grouped(groups: DataFrame, texts: DataFrame) -> DataFrame:
@@ -432,27 +432,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Merge joins by name: whether a side could be broadcast at one size says nothing of the next.
     # One row for each set; the join has sorted them.
     texts = written(_texts(docs, text_col).join(groups.select(F.col("node").alias("fp")).distinct().hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.first("z").alias("z")), "candidates")
+    tidy(spark)
     # First every node with its most general leader alone, which links most of what will be linked.
     own = groups.groupBy("node").agg(F.min_by("leader", "rank").alias("leader")).withColumn("label", F.col("node"))
     links = written(_grouped(own, texts), "joined")
     labels = components(links)
+    tidy(spark)
     # Then the groups that still hold nodes of different components: all others have nothing left to compare.
-    known = groups.select("leader", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = groups.select("leader", "node").join(met(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = written(known.groupBy("leader").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("leader"), "several")
     more = written(_grouped(_by_leader(known, several, "left_semi"), texts), "joined")
     drop(groups, texts, several, labels)
     labels = components(links.union(more))
     drop(links, more)
+    tidy(spark)
     rows = scanned.where("kind = 0").select("id", "n", "fp")
     sets = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
-    named = sets.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    named = sets.join(met(labels), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     named = written(named, "named")
     heads = written(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "heads")
     # Large components get their head apart from the others, which are joined by label.
     large = written(heads.where(F.col("size") > GROUP).select("label", "component_id", F.lit(True).alias("large")), "large")
     marked = _by_leader(named, large, "left", "label", "fp")
-    others = marked.where("large is null").select("fp", "label").join(heads.where(F.col("size") <= GROUP), "label")
+    others = marked.where("large is null").select("fp", "label").join(met(heads.where(F.col("size") <= GROUP)), "label")
     by_set = marked.where("large").select(F.col("fp").alias("_fp"), "component_id").union(others.select("fp", "component_id"))
-    full = rows.where("n > 0").join(by_set, F.col("fp") == F.col("_fp")).select("id", "n", "component_id")
+    full = rows.where("n > 0").join(by_set.hint("merge"), F.col("fp") == F.col("_fp")).select("id", "n", "component_id")
     empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return full.union(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

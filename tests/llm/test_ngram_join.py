@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from quillspark.llm import ngram_join
+from quillspark.llm import common, components, ngram_join
 
 
 def words(text):
@@ -93,3 +93,16 @@ def test_sql_equals_all_pairs():
     rows = corpus(31)
     con.executemany("insert into documents values (?, ?)", [list(r) for r in rows])
     assert {i: (n, c) for i, n, c in con.execute(NGRAM_JOIN_SQL).fetchall()} == brute(rows)
+
+
+def test_tables_beyond_a_bound_are_never_sent(spark, monkeypatch):
+    """The driver holds what is sent, so the rows decide and not the bytes."""
+    small, large = (spark.range(n).withColumnRenamed("id", "node") for n in (common.SENT, common.SENT + 1))
+    plan = lambda t: spark.range(10).withColumnRenamed("id", "node").join(common.met(t), "node")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(small) and "BroadcastHashJoin" not in plan(large)
+    rows = [(3, 4), (4, 5), (5, 6), (6, 7), (1, 2), (9, 9), (None, 1), (3, 4)]
+    links = spark.createDataFrame(rows, "a long, b long")
+    want = {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 7: 3}
+    for sent in (common.SENT, 0):
+        monkeypatch.setattr(common, "SENT", sent)
+        assert {r.node: r.label for r in components.components(links).collect()} == want
