@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontam, ngram_join, pii, quality
-from quillspark.llm.common import table, tidy, written
+from quillspark.llm.common import met, table, tidy, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = ngram_join.classes(keyed, key)
     kept = classes.where(F.col(key) == F.col("component_id")).groupBy(key).agg((F.max("n_shingles") > 0).alias("words"), F.count("*").alias("n"))
     kept = written(kept, "kept")
-    once = keyed.join(kept.where("n = 1 or not words").select(key), key, "left_semi")
-    repeated = keyed.join(kept.where("n > 1 and words").select(key), key, "left_semi").dropDuplicates([key])
+    once = keyed.join(met(kept.where("n = 1 or not words").select(key)), key, "left_semi")
+    repeated = keyed.join(met(kept.where("n > 1 and words").select(key)), key, "left_semi").dropDuplicates([key])
     return once.unionByName(repeated).select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -52,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     tidy(spark)
     keyed, key = _keyed(docs)
     leaks = decontam.contaminated(keyed, table(spark, sf_dir, "benchmark"), key).select(key).distinct()
-    return keyed.join(written(leaks, "leaks"), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return keyed.join(met(written(leaks, "leaks")), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
