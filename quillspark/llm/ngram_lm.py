@@ -2,9 +2,12 @@
 
 The model is a bigram model over words and an end of text. Unigrams have add-one
 estimates; the probability of x after v is (c(v,x) + MU p(x)) / (c(v) + MU).
-Words outside the FREQUENT most frequent ones form one class inside which each
-word keeps its own add-one estimate, so every word of the corpus is modelled and
-the probabilities sum to 1.
+The tries hold the bigrams of the FREQUENT most frequent words. The others are
+either pooled into one class inside which each word keeps its own add-one
+estimate, or (pooled=False) have contexts and successors of their own: bigrams
+with such a word are counted by a grouping of their hashes, so no word and no
+bigram is left out however long the vocabulary. Either way the probabilities
+sum to 1.
 
 N-grams are dealt to shards by context (frequent contexts by context and slice
 of successors, so that no shard follows a hot word). A shard is a trie of two
@@ -209,8 +212,16 @@ def _contexts(x: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> np.ndarray:
     return out
 
 
-def _texts(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """One row for each text: what needs only the broadcast vocabulary, and its rare words."""
+def _ends(row: np.ndarray, rows: int) -> pa.Array:
+    """Offsets of lists whose elements stand in these rows, ascending."""
+    return pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))), pa.int32())
+
+
+def _texts(docs: DataFrame, vocabulary, id_col: str, text_col: str, pooled: bool) -> DataFrame:
+    """One row for each text: what needs only the broadcast vocabulary, its rare words, and unless they are pooled its bigrams with one.
+
+    In those bigrams frequent words are given by their ids, others by their hashes; c is the count of a frequent x.
+    """
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,16 +235,25 @@ def _texts(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame
             known = frequent & (c[x] > 0)
             known_n = rowsum(known.astype(np.int64), offsets)
             base_sum = rowsum(np.where(frequent, base[x], 0.0), offsets)
-            lm = rowsum(smooth[x] - context[_contexts(x, offsets, v)], offsets)
-            ends = np.concatenate(([0], np.cumsum(np.bincount(rare_row, minlength=len(b)))))
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare_h.view(np.int64)))
+            before = _contexts(x, offsets, v)
+            if pooled:
+                own = np.zeros(len(x), bool)
+                lm = rowsum(smooth[x] - context[before], offsets)
+            else:
+                own = ~frequent | (before == v.rare)
+                lm = rowsum(np.where(frequent, smooth[x], 0.0) - np.where(before != v.rare, context[before], 0.0), offsets)
+            names = x.copy()
+            names[~frequent] = rare_h.view(np.int64)
+            count = pa.array(c[x[own]].astype(np.int64), mask=~frequent[own])
+            pairs = pa.StructArray.from_arrays([pa.array(_contexts(names, offsets, v)[own]), pa.array(names[own]), count], ["v", "x", "c"])
+            rare = pa.ListArray.from_arrays(_ends(rare_row, len(b)), pa.array(rare_h.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(np.diff(offsets), pa.int64()), pa.array(known_n, pa.int64()), pa.array(base_sum), pa.array(lm), rare],
-                ["id", "key", "held_out", "n_tokens", "known", "base", "lm", "rare"],
+                [b.column(0), b.column(1), b.column(2), pa.array(np.diff(offsets), pa.int64()), pa.array(known_n, pa.int64()), pa.array(base_sum), pa.array(lm), rare, pa.ListArray.from_arrays(_ends(owner(offsets)[own], len(b)), pairs)],
+                ["id", "key", "held_out", "n_tokens", "known", "base", "lm", "rare", "pairs"],
             )
 
     shaped = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), _held(id_col).alias("held_out"), text_col)
-    return shaped.mapInArrow(run, f"id {kind}, key long, held_out boolean, n_tokens long, known long, base double, lm double, rare array<long>")
+    return shaped.mapInArrow(run, f"id {kind}, key long, held_out boolean, n_tokens long, known long, base double, lm double, rare array<long>, pairs array<struct<v: long, x: long, c: long>>")
 
 
 #: Kinds of packed rows: bigrams of a pack's texts for one shard, the keys of a pack's texts, sums for a pack's texts.
@@ -250,7 +270,7 @@ def _cut(data: bytes) -> list[bytes]:
     return [data[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def _pairs(docs: DataFrame, vocabulary, shards: int, id_col: str, text_col: str) -> DataFrame:
+def _pairs(docs: DataFrame, vocabulary, shards: int, id_col: str, text_col: str, pooled: bool) -> DataFrame:
     """(shard, pack, kind, data): bigrams packed by shard, with the place in the pack of the text that each comes from, and each pack's keys.
 
     A pack is named by a hash of its keys, so a task that runs again names it alike.
@@ -287,7 +307,11 @@ def _pairs(docs: DataFrame, vocabulary, shards: int, id_col: str, text_col: str)
         for b in batches:
             v: Vocabulary = vocabulary.value
             x, offsets, _, _ = _classes(b.column(2), v)
-            held.append((b.column(0).to_numpy(), ~b.column(1).to_numpy(zero_copy_only=False).astype(bool), owner(offsets), _contexts(x, offsets, v) << _X | x))
+            before, own = _contexts(x, offsets, v), owner(offsets)
+            if not pooled:
+                both = (x != v.rare) & (before != v.rare)
+                before, own, x = before[both], own[both], x[both]
+            held.append((b.column(0).to_numpy(), ~b.column(1).to_numpy(zero_copy_only=False).astype(bool), own, before << _X | x))
             n += len(x)
             if n > PACK:
                 yield from packed(held)
@@ -420,27 +444,47 @@ def _gains(dealt: DataFrame, vocabulary) -> DataFrame:
     return sums.repartition("pack").sortWithinPartitions("pack").mapInArrow(by_pack, "key long, gain double")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row; perplexity is 10 to the score's negative mean over tokens."""
+def _rare_gains(texts: DataFrame, words: DataFrame, total: float) -> DataFrame:
+    """(key, gain): what seen bigrams with a word outside the tries add to the log10 probability of every text.
+
+    c(v,x) is counted over all training texts. No group is hot: of v and x one is rare, and a pair that training texts lack adds nothing.
+    """
+    pairs = texts.select("key", "held_out", F.explode("pairs").alias("p")).select("key", "held_out", "p.*")
+    seen = pairs.where("not held_out").groupBy("v", "x").agg(F.count("*").alias("n"), F.max("c").alias("c"))
+    among = seen.where("c is null").drop("c").join(words.select(F.col("h").alias("x"), "c"), "x").select("v", "x", "n", "c")
+    counted = seen.where("c is not null").unionByName(among).select("v", "x", F.log10(1 + F.col("n") * total / (MU * (F.col("c") + 1))).alias("gain"))
+    return pairs.groupBy("key", "v", "x").agg(F.count("*").alias("tf")).join(counted, ["v", "x"]).groupBy("key").agg(F.sum(F.col("tf") * F.col("gain")).alias("gain"))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pooled: bool = True) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row; perplexity is 10 to the score's negative mean over tokens.
+
+    pooled: words outside the tries share the bigrams of one class; else each has its own.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     words, v = count_words(docs, id_col, text_col)
     sent = spark.sparkContext.broadcast(v)  # 16 bytes for each of at most FREQUENT words
-    texts = written(_texts(docs, sent, id_col, text_col), "texts")
+    texts = written(_texts(docs, sent, id_col, text_col, pooled), "texts")
     tokens = texts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // SHARD + 1)
 
-    dealt = _pairs(docs, sent, shards, id_col, text_col).repartition(shards, "shard").sortWithinPartitions("shard")
-    gains = _gains(dealt, sent).groupBy("key").agg(F.sum("gain").alias("gain"))
+    dealt = _pairs(docs, sent, shards, id_col, text_col, pooled).repartition(shards, "shard").sortWithinPartitions("shard")
     total, rare = float(v.tokens + v.distinct + 1), float(v.rare_tokens + v.rare_distinct + 1)
+    gains = _gains(dealt, sent)
+    if not pooled:
+        gains = gains.unionByName(_rare_gains(texts, words, total))
+    gains = gains.groupBy("key").agg(F.sum("gain").alias("gain"))
     spread = texts.select("key", F.explode("rare").alias("h")).groupBy("key", "h").agg(F.count("*").alias("tf"))
     c = F.coalesce("c", F.lit(0))
+    # A rare word is a token once and a context once.
+    rare_lm = F.log10((c + 1) / rare) if pooled else F.log10(MU * (c + 1) / total) - F.log10(c + MU)
     rares = (
         spread.join(words, "h", "left")
         .groupBy("key")
         .agg(
             F.sum(F.col("tf") * F.log10((c + 1) / total)).alias("rare_base"),
-            F.sum(F.col("tf") * F.log10((c + 1) / rare)).alias("rare_lm"),
+            F.sum(F.col("tf") * rare_lm).alias("rare_lm"),
             F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
         )
     )
@@ -448,7 +492,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     copies = texts.groupBy("key").agg(F.count("*").alias("copies"))
     sums = copies.join(gains, "key", "left").join(rares, "key", "left")
     each = lambda name: F.coalesce(F.col(name), F.lit(0.0)) / F.col("copies")
-    scored = texts.drop("rare").join(sums, "key").select(
+    scored = texts.drop("rare", "pairs").join(sums, "key").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",

@@ -42,7 +42,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score(table(spark, sf_dir, "documents"))
+    return ngram_lm.score(table(spark, sf_dir, "documents"), pooled=False)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

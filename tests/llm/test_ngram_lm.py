@@ -70,3 +70,27 @@ def test_scores(spark, monkeypatch, frequent):
 
 def test_empty_table(spark):
     assert ngram_lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("frequent", [1 << 20, 25, 0])
+def test_every_word_has_bigrams_of_its_own(spark, monkeypatch, frequent):
+    """However few words the tries hold, scores are those of one bigram model over all words."""
+    for name, value in (("FREQUENT", frequent), ("SHARD", 300), ("PACK", 200), ("SLICE", 40)):
+        monkeypatch.setattr(ngram_lm, name, value)
+    rng = random.Random(5)
+    vocab = [f"W{i}" for i in range(60)]
+    rows = [(i, rng.choice([None, "", " ".join(rng.choices(vocab, weights=[1 / (k + 1) for k in range(60)], k=rng.randint(1, 40))), f"only{i} here", "only held w0 only held"])) for i in range(150)]
+    rows += rows[:7]
+    got = ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), pooled=False).collect()
+    assert len(got) == len(rows)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train = [tokens(t) for i, t in rows if not held(i)]
+    uni = Counter(w for t in train for w in t)
+    bi, ctx = Counter(), Counter()
+    for t in train:
+        bi.update(zip(["START", *t], t))
+        ctx.update(["START", *t[:-1]])
+    p1 = lambda x: (uni[x] + 1) / (sum(uni.values()) + len(uni) + 1)
+    want = {i: sum(math.log10((bi[a, b] + ngram_lm.MU * p1(b)) / (ctx[a] + ngram_lm.MU)) for a, b in zip(["START", *tokens(t)], tokens(t))) for i, t in rows}
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < (0.02 if frequent else 1e-6) * r.n_tokens + 1e-6, (r, want[r.doc_id])
