@@ -5,8 +5,8 @@ Passages are TF-IDF vectors over hashed terms, with document frequencies from
 all texts, in which words inside a copy of a benchmark passage (runs of RUN words
 that an item has too) do not count, so that leaks never make an item's own words
 common; a randomised SVD, whose products with the passage matrix run in the
-tasks, gives RANK latent dimensions. It is fitted on a bounded sample of the
-corpus passages (SAMPLE) and, with equal weight, all passages of the benchmark, and applied to every
+tasks, gives RANK latent dimensions. It is fitted on all texts, cut into passages that follow each other so that
+every word counts once, and with equal weight on all passages of the benchmark, and applied to every
 passage that can pass. Passages of a text whose cosine with an item's passage is at least
 COSINE (less for items shorter than a window) are candidates; a candidate counts if the longest common subsequence of
 content words holds most of the item, or half of it with the item's answer (its
@@ -38,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillspark.llm.common import bound_batches, coded, hash_words, mix, owner, slices, split_words, unzipped, written, zipped
+from quillspark.llm.common import bound_batches, coded, drop, hash_words, mix, owner, slices, split_words, unzipped, written, zipped
 
 TERMS, RANK, OVERSAMPLE = 1 << 15, 48, 8
 WINDOW, STRIDE = 32, 8
-#: Corpus passages that the decomposition is fitted on, at most about; items of one block.
-SAMPLE, ITEMS, ITEM_BYTES = 20_000, 2_000, 8_000_000
+#: Items of one block, and their bytes.
+ITEMS, ITEM_BYTES = 2_000, 8_000_000
+#: Passages of one product, and parts in which the products of all tasks meet.
+BLOCK, PARTS = 8192, 8
 COSINE = 0.3
 #: Shares of an item's content words in order that count alone, and together with its answer.
 ALONE, WITH_ANSWER = 0.7, 0.5
@@ -139,16 +141,25 @@ def _sequences(text: pa.Array) -> list[np.ndarray]:
     return [t[a:b] for a, b in zip(*_windows(offsets), strict=True)]
 
 
+def _packed(t: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Terms of all texts as rows of WINDOW, one passage each, ascending; the last passage of a text is filled up with TERMS."""
+    size = np.diff(offsets)
+    rows = -(-size // WINDOW)
+    first = np.cumsum(rows) - rows
+    out = np.full(int(rows.sum()) * WINDOW, TERMS, np.uint16)
+    out[np.arange(len(t)) - np.repeat(offsets[:-1] - first * WINDOW, size)] = t
+    out = out.reshape(-1, WINDOW)
+    out.sort(axis=1)
+    return out
+
+
 def statistics(docs: DataFrame, text_col: str, items: list[str]) -> tuple[Statistics, DataFrame]:
-    """Document frequencies of all texts outside copies of the items, and about SAMPLE passages, in one pass."""
+    """Document frequencies of all texts outside copies of the items, and the terms of all passages (data, n), in one pass."""
     ic, iw, io = _bare(pa.array(items, pa.string()))
     ih = hash_words(iw).view(np.int64)
     vocabulary = np.unique(ih)
     runs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_runs(ih[ic[a:z]]) for a, z in zip(io[:-1], io[1:], strict=True))]))
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, runs))
-    words_of = F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)))
-    total = docs.agg(F.coalesce(words_of, F.lit(0)).alias("n")).first()["n"]
-    share = np.uint64(min(1.0, SAMPLE / max(1.0, total / (6.0 * STRIDE))) * 0xFFFFFFFF)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, runs = sent.value
@@ -170,14 +181,9 @@ def statistics(docs: DataFrame, text_col: str, items: list[str]) -> tuple[Statis
             seen = np.asarray(pc.unique(pa.array(row[counted] * size + place[codes[counted]])))
             if len(seen):
                 df[TERMS:] += np.bincount(seen % size, minlength=size)
-            start, end = _windows(offsets)
-            # A passage is drawn by its own words, so the sample does not depend on how the table is cut.
-            sums = np.concatenate(([0], np.cumsum(t.astype(np.uint64) * np.uint64(2654435761), dtype=np.uint64)))
-            drawn = np.flatnonzero((mix(sums[end] - sums[start]) & np.uint64(0xFFFFFFFF)) < share)
-            if len(drawn):
-                picked = [t[start[i] : end[i]].astype(np.int32) for i in drawn]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(drawn), np.int32)), pa.array(picked, pa.list_(pa.int32())), pa.nulls(len(drawn), pa.binary()), pa.nulls(len(drawn), pa.int64())], ["kind", "terms", "data", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.list_(pa.int32())), pa.array([zipped(df)], pa.binary()), pa.array([n], pa.int64())], ["kind", "terms", "data", "n"])
+            passages = _packed(t, offsets)
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zipped(passages.reshape(-1))], pa.binary()), pa.array([len(passages)], pa.int64())], ["kind", "data", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([zipped(df)], pa.binary()), pa.array([n], pa.int64())], ["kind", "data", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(TERMS + len(vocabulary), np.int64), 0
@@ -186,11 +192,11 @@ def statistics(docs: DataFrame, text_col: str, items: list[str]) -> tuple[Statis
                 df, n = df + unzipped(data, np.int64), n + k
         yield pa.RecordBatch.from_arrays([pa.array([zipped(df)], pa.binary()), pa.array([n], pa.int64())], ["data", "n"])
 
-    rows = written(docs.select(text_col).mapInArrow(run, "kind int, terms array<int>, data binary, n long"), "passages")
+    rows = written(docs.select(text_col).mapInArrow(run, "kind int, data binary, n long"), "passages")
     # Eight partial sums of counters for terms and words of the block reach the driver, however many tasks there were.
     parts = rows.where("kind = 1").select("data", "n").repartition(8).mapInArrow(add, "data binary, n long").collect()
     df = sum((unzipped(r.data, np.int64) for r in parts), np.zeros(TERMS + len(vocabulary), np.int64))
-    return Statistics(sum(r.n for r in parts), df[:TERMS], vocabulary, df[TERMS:]), rows.where("kind = 0").select("terms")
+    return Statistics(sum(r.n for r in parts), df[:TERMS], vocabulary, df[TERMS:]), rows.where("kind = 0").select("data", "n")
 
 
 def _gram(sequences: list[np.ndarray], basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -215,38 +221,79 @@ def _gram(sequences: list[np.ndarray], basis: np.ndarray, idf: np.ndarray) -> np
     return out
 
 
-def latent_basis(sample: DataFrame, items: list[np.ndarray], stats: Statistics, rounds: int = 3) -> np.ndarray:
+def _gram_packed(terms: np.ndarray, basis: np.ndarray, idf: np.ndarray, out: np.ndarray) -> None:
+    """Adds (A^T A basis)^T for the unit TF-IDF vectors A of packed passages. basis and idf have a last row of zeros, for what fills passages up."""
+    for i in range(0, len(terms), BLOCK):
+        t = terms[i : i + BLOCK]
+        flat = t.reshape(-1)
+        new = np.ones(t.shape, bool)
+        new[:, 1:] = t[:, 1:] != t[:, :-1]
+        run = np.flatnonzero(new.reshape(-1))
+        v = idf[flat[run]] * np.diff(np.append(run, len(flat)))
+        norm = np.sqrt(np.bincount(run // WINDOW, v * v, len(t)))
+        y = np.zeros((len(t), basis.shape[1]), np.float32)
+        for k in range(WINDOW):
+            y += basis[t[:, k]]
+        y /= (norm**2)[:, None]
+        at = flat.astype(np.int64)
+        for k, column in enumerate(y.T.astype(np.float64)):
+            out[k] += np.bincount(at, np.repeat(column, WINDOW), len(idf))
+
+
+def _product(passages: DataFrame, q: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A^T A q over all passages of the corpus: the tasks' products meet in PARTS parts, so the driver gets one matrix however many tasks there are."""
+    weights = np.append(idf, np.float32(0))
+    weighed = np.vstack((q * idf[:, None], np.zeros((1, q.shape[1])))).astype(np.float32)
+    sent = passages.sparkSession.sparkContext.broadcast((weighed, weights))
+    size = TERMS // PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis, weights = sent.value
+        total = np.zeros(basis.T.shape)
+        for b in batches:
+            for data in b.column(0):
+                _gram_packed(unzipped(data.as_py(), np.uint16).reshape(-1, WINDOW), basis, weights, total)
+        total = (total.T[:-1] * weights[:-1, None]).astype(np.float32)
+        for k in range(PARTS):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k * size : (k + 1) * size].tobytes()], pa.binary())], ["part", "data"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                sums[k] = sums.get(k, 0.0) + np.frombuffer(data.as_py(), np.float32).astype(np.float64)
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["part", "data"])
+
+    out = np.zeros(q.shape)
+    met = passages.select("data").mapInArrow(run, "part int, data binary").repartition(PARTS, "part").mapInArrow(add, "part int, data binary")
+    for r in met.toLocalIterator():
+        out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.data, np.float32).reshape(size, -1)
+    sent.destroy()
+    return out
+
+
+def latent_basis(passages: DataFrame, items: list[np.ndarray], stats: Statistics, rounds: int = 2) -> np.ndarray:
     """TERMS x RANK: what a word adds to its passage's latent vector."""
     rng = np.random.default_rng(7)
-    # The benchmark's passages weigh as much together as the sample's, else the basis would describe common words alone.
-    weight = max(1.0, sample.count() / max(1, len(items)))
+    n = passages.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # The benchmark's passages weigh as much together as the corpus's, else the basis would describe common words alone.
+    weight = max(1.0, n / max(1, len(items)))
     q, idf = np.linalg.qr(rng.standard_normal((TERMS, RANK + OVERSAMPLE)))[0], stats.idf
-    spark = sample.sparkSession
-    dealt = sample.repartition(2)
+    # The benchmark's own directions are where the rounds begin; each takes in the whole corpus.
+    z = _gram(items, q, idf)
+    q = np.linalg.qr(z / max(1e-9, np.abs(z).max()) + 0.01 * q)[0]
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((q.astype(np.float32), idf))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            basis, weights = sent.value  # noqa: B023
-            total = np.zeros(basis.shape)
-            for b in batches:
-                col = b.column(0)
-                at, flat = np.asarray(col.offsets), col.flatten().to_numpy().astype(np.int64)
-                at = at - at[0]
-                total += _gram([flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], basis, weights)
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["data"])
-
-        z = weight * _gram(items, q, idf)
-        for r in dealt.mapInArrow(run, "data binary").toLocalIterator():  # two products of fixed size, one at a time
-            z += np.frombuffer(r.data, np.float32).reshape(q.shape)
-        sent.destroy()
+        z = weight * _gram(items, q, idf) + _product(passages, q, idf)
         small = q.T @ z
         q, last = np.linalg.qr(z)[0], (q, small)
     q, small = last
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     top = np.argsort(-values)[:RANK]
+    # A small table has fewer directions than RANK: what is left is rounding, which the division would enlarge.
+    real = values[top] > 1e-6 * values[top[0]]
     sigma = np.sqrt(np.maximum(values[top], 1e-9))
-    return ((q @ vectors[:, top]) / np.sqrt(sigma + 1e-6) * idf[:, None]).astype(np.float32)
+    return ((q @ vectors[:, top]) * (real / np.sqrt(sigma + 1e-6)) * idf[:, None]).astype(np.float32)
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -491,10 +538,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k in range(blocks):
         block = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).orderBy("id", "text").collect()
         ids, texts = [r.id for r in block], [r.text for r in block]
-        stats, sample = statistics(docs, text_col, texts)
+        stats, passages = statistics(docs, text_col, texts)
         if not len(stats.vocabulary):
             continue
-        basis = latent_basis(sample, _sequences(pa.array(texts, pa.string())), stats)
+        basis = latent_basis(passages, _sequences(pa.array(texts, pa.string())), stats)
+        drop(passages)
         found = matches(docs, prepare(ids, texts, basis, stats), basis, id_col, text_col, item_kind)
         out = found if out is None else out.union(found)
     if out is None:

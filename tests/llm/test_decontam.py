@@ -114,3 +114,18 @@ def test_no_passage_that_counts_is_lost(spark):
         got = {(r, k) for r, k, *_ in decontam._found(built, basis, pa.array(texts, pa.string())) if k not in built.plain}
         want = every_passage(built, basis, texts)
         assert got == want and len(want) > 60, (len(got), len(want), got ^ want)
+
+
+def test_basis_is_fitted_on_every_word(spark):
+    """The product with the corpus is that of all its passages, each word once, whatever the size of the table and its partitions."""
+    rng = random.Random(11)
+    texts = [" ".join(prose(rng, rng.choice([1, 31, 32, 33, 90]), 3000)) for _ in range(900)] + ["", None, "a a a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    stats, passages = decontam.statistics(docs, "text", [texts[0] + " one more"])
+    assert passages.agg({"n": "sum"}).first()[0] == sum(-(-len((t or "").split()) // decontam.WINDOW) for t in texts)
+    codes, words, offsets = decontam._bare(pa.array(texts, pa.string()))
+    terms = decontam._terms(words)[codes]
+    cut = [terms[i : min(i + decontam.WINDOW, z)] for a, z in zip(offsets[:-1], offsets[1:]) for i in range(a, z, decontam.WINDOW)]
+    q = np.linalg.qr(np.random.default_rng(3).standard_normal((decontam.TERMS, 6)))[0]
+    want, got = decontam._gram(cut, q, stats.idf), decontam._product(passages, q, stats.idf)
+    assert np.abs(want - got).max() < 1e-5 * np.abs(want).max()
