@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 from quillspark.functions import article, json_ld, media, urls
+from quillspark.session import bound_batches
 
 #: Hosts whose images come first.
 FIRST_HOSTS = (
@@ -50,6 +51,7 @@ def lead_image(read: Column, url: Column) -> Column:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, site, title, excerpt, content, words, body_tag, lead_image, images, captions, videos, schema) of every page."""
+    bound_batches(pages.sparkSession)
     read = pages.select(F.col(id_col), F.col(url_col).alias("url"), read_page(F.col(html_col), F.col(url_col)).alias("read"))
     led = read.withColumn("lead_image", lead_image(F.col("read"), F.col("url"))).withColumn("schema", json_ld.article_fields(F.col("read.json_ld")))
     found = F.when(F.col("read.site").isNull(), ordered_images(F.col("read.images"))).otherwise(F.col("read.images"))

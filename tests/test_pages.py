@@ -125,3 +125,19 @@ def test_odd_pages_through_spark(spark):
     got = extraction.extract(pages).collect()
     assert sorted((r.words for r in got)) == [0, 0, 1, 20, 50_000]
     assert extraction.extract(pages.limit(0)).count() == 0
+
+
+def test_batches_of_pages_are_bounded(spark):
+    """A worker gets few pages at once, whatever the table; a smaller bound stays."""
+    from quillspark.operators import bodies, extraction
+    from quillspark.plans import catalogue
+    from quillspark.session import BATCH
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    pages = spark.range(2).selectExpr("id as page_id", "'https://i.ex/' as url", "'<p>x</p>' as html")
+    links = spark.createDataFrame([("https://i.ex/1", "x", ["abc"], [], False, 1)], "link string, title string, keywords array<string>, categories array<int>, pillar boolean, position int")
+    for run in (lambda: extraction.extract(pages), lambda: bodies.link_bodies(pages, links), lambda: catalogue.table(spark, "/root/testdata/sf0.001", "pages")):
+        for before, after in (("10000", BATCH), ("0", BATCH), ("7", "7")):
+            spark.conf.set(name, before)
+            run()
+            assert spark.conf.get(name) == after
