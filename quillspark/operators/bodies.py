@@ -13,7 +13,10 @@ from quillspark.functions import body
 from quillspark.functions.repair import source_label
 from quillspark.functions.text import squeeze
 from quillspark.operators.entities import BLOCK_BYTES, occurrences
+from quillspark.session import bound_batches
 
+#: Dictionaries of links that a worker keeps.
+LINKERS = 16
 LINKED = StructType([StructField("html", StringType()), StructField("links", ArrayType(StringType()))])
 
 
@@ -100,6 +103,7 @@ def link_bodies(articles: DataFrame, links: DataFrame, html_col: str = "html", c
     names, and those that it would fall back to; the outcome is the same. Pages without link or keywords are none.
     """
     spark = articles.sparkSession
+    bound_batches(spark)
     columns = ["link", "title", "keywords", "categories", "pillar", "position"]
     usable = links.select(*columns).where("link <> '' and size(filter(keywords, k -> trim(k) <> '')) > 0")
     size = usable.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct(*columns)))), F.lit(0)).alias("n")).first()["n"]
@@ -111,12 +115,15 @@ def link_bodies(articles: DataFrame, links: DataFrame, html_col: str = "html", c
 
     if size <= block_bytes:
         sent = spark.sparkContext.broadcast(given(usable))
+        linkers: dict[frozenset[int], body.Linker] = {}
 
         @F.pandas_udf(LINKED)
         def run(html: pd.Series, categories: pd.Series) -> pd.DataFrame:
             wanted = [frozenset(_listed(c)) for c in categories]
-            # One dictionary for each set of categories in the batch.
-            linkers = {c: body.Linker(sent.value, c) for c in set(wanted)}
+            # One dictionary for each set of categories, kept from batch to batch unless there are many.
+            if len(linkers) > LINKERS:
+                linkers.clear()
+            linkers.update({c: body.Linker(sent.value, c) for c in set(wanted) if c not in linkers})
             return pd.DataFrame([body.add_links(h, linkers[c], c, most) for h, c in zip(html, wanted, strict=True)], columns=LINKED.names)
 
         linked = articles.withColumn("_linked", run(F.col(html_col), own))
