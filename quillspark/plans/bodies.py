@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import bodies
-from quillspark.plans.catalogue import query, table
+from quillspark.plans.catalogue import dealt, query, table
 from quillspark.plans.rules import _pick
 
 
@@ -74,7 +74,7 @@ def figures_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     frames = F.concat(F.lit("<div><p>"), n, F.lit('</p><p> Crédito: alguém</p><figcaption>Fonte: x</figcaption><figure><iframe src="https://www.youtube.com/embed/abcdefghijk?x=1"></iframe></figure><iframe src="URL_DO_EMBED_AQUI"></iframe><figure> </figure><p> </p><iframe src="https://o.ex/"></iframe></div>'))
     once = bodies.fix_figures(page)
-    fixed = table(spark, sf_dir, "part").select("p_partkey", "p_name", once.alias("fixed"), bodies.without_credits(frames).alias("credits"))
+    fixed = dealt(spark, sf_dir, "part").select("p_partkey", "p_name", once.alias("fixed"), bodies.without_credits(frames).alias("credits"))
     sources = F.array(F.lit(" https://blog-x.ex/ "), F.lit(None).cast("string"), F.concat(F.lit("https://www.variety.com/a?b&c="), i), F.lit(""))
     return fixed.select(
         F.col("p_partkey").alias("id"),
@@ -95,4 +95,4 @@ def bodies_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     captions = [F.concat(F.lit("Imagem de "), n, F.lit(" aqui.")), "Luke standing in a star  wars set", "Homem looking at o alvo", "raw words only", "Curta.", F.concat(F.lit("Foto da marvel. Crédito: "), n), "O elenco da NETFLIX reunido via RSSPRIME Superfeed.", F.concat(F.lit("Uma legenda: "), n)]
     caption = F.concat(F.lit("<figure><figcaption>"), _pick(k, captions), F.lit("</figcaption></figure>"))
     html = F.concat(F.lit('<p class="netflix">Na netflix: '), n, F.lit('</p><figure><img src="a"></figure>'), caption, caption)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), bodies.finish(html, F.when(k == 2, "Final de the boys").otherwise("Outro")).alias("html"))
+    return dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), bodies.finish(html, F.when(k == 2, "Final de the boys").otherwise("Outro")).alias("html"))
