@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import comparison_key
 from quillspark.operators import policy, responses, revisions
-from quillspark.plans.catalogue import query, table
+from quillspark.plans.catalogue import dealt, query, table
 from quillspark.plans.rules import _pick
 
 _GIVEN = [
@@ -20,7 +20,7 @@ _GIVEN = [
  when 4 then 'linha' || chr(10) || p_name when 5 then 'c:\\dir ' || p_name when 7 then p_name end as t, coalesce(p_partkey % 11 in (3, 4, 5, 6, 9), false) as mended from part""")
 def response_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(_pick(F.col("p_partkey") % 11, _GIVEN), F.lit("~"), F.col("p_name"))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), responses.results(text).alias("r"))
+    rows = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), responses.results(text).alias("r"))
     listed = F.from_json("r.results", "array<struct<t:string>>")
     return rows.select("id", F.when(F.col("r.results").isNotNull(), F.size(listed)).alias("n"), F.get(listed["t"], F.lit(0)).alias("t"), "r.mended")
 
@@ -30,7 +30,7 @@ def response_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = '{"titulo_final": "~", "conteudo_final": "<p>x</p>", "meta_description": null, "focus_keyphrase": "", "tags_sugeridas": ["a"], "yoast_meta": {"k": 1}'
     forms = [full + ', "subtitle": null}', full + ', "erro": "recusado"}', '{"titulo_final": "~"}', full + ', "subtitle": "sub"}', full + "}, 7"]
     listed = F.concat(F.lit("["), F.replace(_pick(F.col("p_partkey") % 5, forms), F.lit("~"), F.col("p_name")), F.lit("]"))
-    b = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), responses.batch(listed, F.lit(1)).alias("b"))
+    b = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), responses.batch(listed, F.lit(1)).alias("b"))
     first = F.get("b", F.lit(0))
     return b.select("id", first["titulo_final"].alias("title"), first["subtitle"].alias("subtitle"), F.col("b").isNotNull().alias("counted"))
 
@@ -39,7 +39,7 @@ def response_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def response_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = ['{"titulo_final": "~", "title": "z", "content": "a", "other": "x"}', '{"titulo_final": "", "titulo": "~", "conteudo_final": [], "conteudo": "", "body": "b"}', '{"titulo_final": null, "headline": "~", "conteudo_final": ""}', '{"slug": "s"}']
     given = F.replace(_pick(F.col("p_partkey") % 4, forms), F.lit("~"), F.col("p_name"))
-    m = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), responses.recovered(F.from_json(given, "map<string,string>")).alias("m"))
+    m = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), responses.recovered(F.from_json(given, "map<string,string>")).alias("m"))
     at = lambda k: F.try_element_at("m", F.lit(k))
     return m.select("id", at("titulo_final").alias("title"), at("conteudo_final").alias("body"), at("other").alias("other"))
 
@@ -53,7 +53,7 @@ def response_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     raw = F.replace(_pick(F.col("p_partkey") % 4, forms), F.lit("~"), F.col("p_name"))
     draft = comparison_key(F.concat(F.lit("Hoje: a obra "), F.col("p_name"), F.lit(" estreia.")))
-    a = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), responses.claim_answer(F.lit("d"), draft, raw, 2).alias("a"))
+    a = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), responses.claim_answer(F.lit("d"), draft, raw, 2).alias("a"))
     first = F.get("a.claims", F.lit(0))
     return a.select("id", F.when(F.col("a").isNotNull(), F.size("a.claims")).alias("n"), first["value"].alias("value"), first["claim_type"].alias("claim_type"), F.array_join("a.warnings", ",").alias("warnings"))
 
@@ -64,7 +64,7 @@ def editorial_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.repeat(F.concat(n, F.lit(" ")), _pick(k, [0, 0, 40, 40, 40, 40, 40, 900, 0]))
     title = _pick(k, ["Os 5 melhores filmes", "Guia para assistir", "Os 5 melhores filmes", "Guia para assistir", "Sem sinal", "Resenha do filme", "Minha opini\u00e3o: uma resenha", "Sem sinal", None])
     body = F.when(k == 4, "<h2>1. a</h2><h2 class='x'><b>2)</b> b</h2><h2>c</h2><H2> 3: d</H2>").when(k == 3, "<h2>1. a</h2><h2>2. b</h2><h2>3. c</h2>").otherwise("")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), policy.editorial_type(title, words, body).alias("kind"))
+    return dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), policy.editorial_type(title, words, body).alias("kind"))
 
 
 @query("""select source_id, cursor, case when source_id % 3 = 0 then 'unavailable' else 'active' end as cursor_mode from (select s_suppkey as source_id, case when s_suppkey % 2 = 0 then s_name end as cursor from supplier) where source_id % 2 = 0 or source_id % 3 = 0""")
