@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import canonical, ids, text, urls, values
 from quillspark.operators import contract, delivery, factual, gate, qa, state
-from quillspark.plans.catalogue import query, table
+from quillspark.plans.catalogue import dealt, query, table
+from quillspark.session import spread
 
 MONTHS = ["janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro"]
 
@@ -228,7 +229,7 @@ def gate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("k").alias("input_event_key"), F.lit("h").alias("input_payload_hash"), F.when(hit(41), 2).otherwise(1).alias("input_revision"), F.when(~hit(17), F.lit("p")).alias("prompt_version"),
     )
     number = lambda n, yes, no=0: F.when(hit(n), F.lit(yes)).otherwise(F.lit(no))
-    drafts = table(spark, sf_dir, "documents").select(
+    drafts = dealt(spark, sf_dir, "documents").select(
         _s("doc_id").alias("draft_id"), F.lit("k").alias("event_key"), F.lit(1).alias("revision"), content.alias("content"), F.when(hit(31), F.array().cast(none)).otherwise(two).alias("sources"), F.array().cast("array<struct<status:string>>").alias("evidence"),
         media.alias("media_candidates"), one(13, "REVISION_GAP: 2").alias("warnings"), one(23, "x").alias("blocking_errors"), provenance.alias("provenance"),
         F.lit(4).alias("material"), number(73, 0, 2).alias("supporting_links"), number(79, 1).alias("conflicting"), F.lit(0).alias("conflicts"), number(67, 1).alias("partially_supported"), number(71, 1).alias("unverified"),
@@ -254,7 +255,7 @@ def claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select o_orderkey as id, case o_orderkey % 4 when 0 then 'SUPPORTS' when 1 then 'CONTRADICTS' when 2 then 'MENTIONS' end as relation from orders where o_orderkey % 4 < 3""")
 def evidence_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims on a cost against an excerpt with the same, another or no number; the fourth excerpt is about something else and gives no link."""
-    o = _orders(spark, sf_dir, 4).withColumn("n", 2 + F.col("id") % 90)
+    o = spread(_orders(spark, sf_dir, 4), "id").withColumn("n", 2 + F.col("id") % 90)
     cost = lambda n: F.format_string("Aurora custou R$ %s milhões ao estúdio", _s(n))
     claim = o.select(_s("id").alias("draft_id"), _s("id").alias("claim_id"), cost(F.col("n")).alias("display_text"), F.lit("aurora").alias("normalized_subject"), F.lit("NUMBER").alias("claim_type"), F.format_string("BRL %s000000", _s("n")).alias("value"))
     said = _pick(F.col("k"), [cost(F.col("n")), cost(F.col("n") + 1), F.lit("Aurora teve custo alto segundo o estúdio"), F.lit("Outra obra estreia em breve")])
