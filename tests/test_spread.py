@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import dom, text
-from quillspark.operators import gate
+from quillspark.functions import dom, lexicons, text
+from quillspark.operators import factual, gate
 from quillspark.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
@@ -17,7 +17,7 @@ def test_rows_are_dealt_out(spark, name):
     assert len(by_task) >= 16 and max(r["count"] for r in by_task) <= 40
 
 
-@pytest.mark.parametrize("name", ["gate_rules", "evidence_link"])
+@pytest.mark.parametrize("name", ["gate_rules", "evidence_link", "claim_extract", "claim_conflicts"])
 def test_rows_are_dealt_out_below_the_step(spark, name):
     plan = catalogue.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
@@ -39,6 +39,16 @@ def test_phrases_are_found_in_odd_letters(spark):
     assert [r.n for r in rows] == [r.m for r in rows] == [1, 1, 1, 1, 1, 1, 1, 1, 0, 0]
 
 
+def test_patterns_of_claims_are_found_where_their_letters_are(spark):
+    given = ["Clique aqui para ver tudo", "LE\u0130A tamb\u00e9m esta nota", "Please read more of this", "Assine a newsletter do jornal", "Don't miss the next one", "Uma obra-prima do cinema", "Acredito que vai dar certo", "Recomendamos este filme bom", "Uma frase sem nada disso"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+    plain = F.lit(False)
+    for p in lexicons.NON_MATERIAL:
+        plain = plain | F.col("t").rlike(p)
+    rows = df.select("i", factual.material(F.col("t")).alias("got"), (~plain).alias("wanted")).orderBy("i").collect()
+    assert [r.got for r in rows] == [r.wanted for r in rows] == [False] * 8 + [True]
+
+
 def test_a_draft_is_read_once(spark):
     """The text of a body, all as JSON and the number of words are worked out in one place of the plan."""
     plan = catalogue.QUERIES["gate_rules"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
