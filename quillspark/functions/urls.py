@@ -17,9 +17,9 @@ def host(url: Column) -> Column:
     return F.when(F.length(found) > 0, found)
 
 
-def domain(url: Column) -> Column:
-    """Host without a leading www."""
-    return F.regexp_replace(host(url), r"^www\.", "")
+def domain(url: Column, own_host: Column | None = None) -> Column:
+    """Host without a leading www. own_host: the URL's host, where it is known."""
+    return F.regexp_replace(host(url) if own_host is None else own_host, r"^www\.", "")
 
 
 def resolve(url: Column, base: Column) -> Column:
@@ -34,9 +34,9 @@ def resolve(url: Column, base: Column) -> Column:
     )
 
 
-def acceptable(url: Column) -> Column:
-    """An http or https URL with a host."""
-    return F.coalesce(url.rlike(r"(?i)^\s*https?://") & host(url).isNotNull(), F.lit(False))
+def acceptable(url: Column, own_host: Column | None = None) -> Column:
+    """An http or https URL with a host. own_host: the URL's host, where it is known."""
+    return F.coalesce(url.rlike(r"(?i)^\s*https?://") & (host(url) if own_host is None else own_host).isNotNull(), F.lit(False))
 
 
 def canonical(url: Column) -> Column:

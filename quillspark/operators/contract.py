@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import ids, urls, values
+from quillspark.functions.text import let
 
 V1, LEGACY = "rss-prime-event-v1", "legacy-feed-input-v0"
 BLOCKED_TOPICS = ("politica", "esportes")
@@ -18,29 +21,59 @@ def filled(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) != ""
 
 
+#: Keys whose values tell an item of the legacy contract.
+MARKERS = ("event_key", "has_superfeed_meta", "sf_event_key", "primary_source", "all_sources")
+#: Keys of a payload that are read, in either spelling.
+FIELDS = (
+    "contract_version", "contractVersion", "event_key", "eventKey", "revision", "topic", "title", "first_seen", "firstSeen", "last_seen", "lastSeen", "is_multi_source", "isMultiSource", "multiSource",
+    "source_count", "sourceCount", "cluster_confidence", "clusterConfidence", "cursor", "sources", "payload_hash", "payloadHash", *MARKERS[1:],
+)
+
+
+def opened(raw: DataFrame, payload: str = "payload") -> DataFrame:
+    """Adds the payload's fields (see field) and whether it is JSON, _readable: a payload is read once for all of them, not once for each."""
+    return raw.select("*", F.try_parse_json(payload).isNotNull().alias("_readable"), F.json_tuple(F.col(payload), *FIELDS).alias(*[f"_json_{n}" for n in FIELDS]))
+
+
+def field(name: str) -> Column:
+    """A field of an opened payload as text; NULL if there is none."""
+    return F.col(f"_json_{name}")
+
+
+def _version(get: Callable[[str], Column]) -> Column:
+    v = F.trim(F.coalesce(get("contract_version"), get("contractVersion")))
+    return F.when(v != "", v)
+
+
 def version(payload: Column) -> Column:
     """Declared contract version of a JSON payload, in either spelling; blank is NULL."""
-    v = F.trim(F.coalesce(F.get_json_object(payload, "$.contract_version"), F.get_json_object(payload, "$.contractVersion")))
-    return F.when(v != "", v)
+    return _version(lambda name: F.get_json_object(payload, f"$.{name}"))
 
 
-def is_legacy(payload: Column) -> Column:
-    markers = ("event_key", "has_superfeed_meta", "sf_event_key", "primary_source", "all_sources")
+def _is_legacy(get: Callable[[str], Column]) -> Column:
     held = F.lit(False)
-    for m in markers:
-        held = held | ~F.coalesce(F.get_json_object(payload, f"$.{m}"), F.lit("")).isin("", "false", "0", "[]", "{}")
-    return version(payload).isNull() & held
+    for m in MARKERS:
+        held = held | ~F.coalesce(get(m), F.lit("")).isin("", "false", "0", "[]", "{}")
+    return _version(get).isNull() & held
+
+
+def is_legacy(payload: Column) -> Column:
+    return _is_legacy(lambda name: F.get_json_object(payload, f"$.{name}"))
 
 
 def route(payload: Column, accept_legacy: bool = True) -> Column:
     """Which way a payload goes."""
-    v = version(payload)
+    return _route(payload, F.try_parse_json(payload).isNotNull(), lambda name: F.get_json_object(payload, f"$.{name}"), accept_legacy)
+
+
+def _route(payload: Column, readable: Column, get: Callable[[str], Column], accept_legacy: bool = True) -> Column:
+    v = _version(get)
     return (
         F.when(F.octet_length(payload) > MAX_BYTES, "PAYLOAD_TOO_LARGE")
-        .when(F.try_parse_json(payload).isNull(), "MALFORMED_PAYLOAD")
+        .when(~readable, "MALFORMED_PAYLOAD")
         .when(v == V1, "V1")
         .when(v.isNotNull(), "UNKNOWN_CONTRACT_VERSION")
-        .when(~is_legacy(payload), "MALFORMED_PAYLOAD")
+        .when(~_is_legacy(get), "MALFORMED_PAYLOAD")
         .otherwise("LEGACY" if accept_legacy else "LEGACY_CONTRACT_DISABLED")
     )
 
@@ -49,34 +82,43 @@ def _issue(when: Column, code: str, field: str, severity: str = "ERROR") -> Colu
     return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(field).alias("field")))
 
 
-def _source_issues() -> Column:
+def _facts(sources: Column) -> Column:
+    """Of each source what its issues ask for, its address taken apart once."""
+
+    def one(s: Column) -> Column:
+        return let(urls.host(s["url"]), lambda h: F.struct(urls.acceptable(s["url"], h).alias("ok"), urls.domain(s["url"], h).alias("own"), *[s[n].alias(n) for n in ("url", "domain", "author", "published_at", "is_primary")]))
+
+    return F.transform(sources, one)
+
+
+def _source_issues(facts: Column) -> Column:
     """Issues of each source, in order; a source with an unusable URL has only that one."""
 
     def one(s: Column, i: Column) -> Column:
-        bad = ~urls.acceptable(s["url"])
-        own = urls.domain(s["url"])
-        earlier = F.filter(F.slice(F.col("sources"), F.lit(1), i), lambda o: urls.acceptable(o["url"]) & (o["url"] == s["url"]))
+        bad = ~s["ok"]
+        earlier = F.filter(F.slice(facts, F.lit(1), i), lambda o: o["ok"] & (o["url"] == s["url"]))
         return F.array_compact(
             F.array(
                 _issue(bad, "INVALID_SOURCE_URL", "sources.url"),
-                _issue(~bad & (~filled(s["domain"]) | (F.lower(s["domain"]) != own)), "INVALID_SOURCE_DOMAIN", "sources.domain"),
+                _issue(~bad & (~filled(s["domain"]) | (F.lower(s["domain"]) != s["own"])), "INVALID_SOURCE_DOMAIN", "sources.domain"),
                 _issue(~bad & (F.size(earlier) > 0), "DUPLICATE_SOURCE_URL", "sources.url"),
                 _issue(~bad & ~filled(s["author"]), "SOURCE_AUTHOR_UNKNOWN", "sources.author", "WARNING"),
                 _issue(~bad & ~filled(s["published_at"]), "SOURCE_DATE_UNKNOWN", "sources.published_at", "WARNING"),
             )
         )
 
-    return F.flatten(F.transform("sources", one))
+    return F.flatten(F.transform(facts, one))
 
 
 def validate(events: DataFrame, computed_hash: Column | None = None, blocked: tuple[str, ...] = BLOCKED_TOPICS) -> DataFrame:
     """Adds issues (array of code, severity, field) and valid. computed_hash: the hash to hold the declared one against."""
     c = F.col
     sources = F.coalesce(c("sources"), F.array().cast(dict(events.dtypes)["sources"]))
-    usable = F.size(F.filter(sources, lambda s: urls.acceptable(s["url"])))
-    primary = F.size(F.filter(sources, lambda s: F.coalesce(s["is_primary"], F.lit(False))))
-    some = F.size(sources) > 0
-    first, last = F.try_to_timestamp(values.instant(c("first_seen"))), F.try_to_timestamp(values.instant(c("last_seen")))
+    # Columns of their own: each is used several times, and would be worked out as often.
+    events = events.withColumns({"_facts": _facts(sources), "_first": F.try_to_timestamp(values.instant(c("first_seen"))), "_last": F.try_to_timestamp(values.instant(c("last_seen")))})
+    events = events.withColumns({"_usable": F.size(F.filter("_facts", lambda s: s["ok"])), "_primary": F.size(F.filter("_facts", lambda s: F.coalesce(s["is_primary"], F.lit(False))))})
+    usable, primary, first, last = c("_usable"), c("_primary"), c("_first"), c("_last")
+    some = F.size("_facts") > 0
     conf = c("cluster_confidence")
     fixed = F.array_compact(
         F.array(
@@ -99,7 +141,7 @@ def validate(events: DataFrame, computed_hash: Column | None = None, blocked: tu
             _issue(~filled(c("cursor")), "MISSING_CURSOR", "cursor", "WARNING"),
         )
     )
-    checked = events.withColumn("issues", F.concat(fixed, F.coalesce(_source_issues(), F.array().cast("array<struct<code:string,severity:string,field:string>>"))))
+    checked = events.withColumn("issues", F.concat(fixed, _source_issues(c("_facts")))).drop("_facts", "_usable", "_primary", "_first", "_last")
     if computed_hash is not None:
         declared = F.lower(F.trim(F.coalesce("payload_hash", F.lit(""))))
         sound = ~F.exists("issues", lambda i: i["code"].isin(*STRUCTURAL))
@@ -132,9 +174,14 @@ def adapt_legacy(items: DataFrame) -> DataFrame:
 
 def parse(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """JSON payloads in either spelling of names as typed events, with the route that each takes."""
-    j = lambda *names: F.coalesce(*[F.get_json_object(payload, f"$.{n}") for n in names])
+    return typed(opened(raw, payload), payload).drop("_readable", *[f"_json_{n}" for n in FIELDS])
+
+
+def typed(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """parse() of payloads that are opened, whose fields stay."""
+    j = lambda *names: F.coalesce(*[field(n) for n in names])
     wire = "array<struct<source_id:string,sourceId:string,name:string,domain:string,url:string,title:string,author:string,published_at:string,publishedAt:string,source_type:string,sourceType:string,is_primary:string,isPrimary:string>>"
-    given = F.from_json(F.coalesce(F.get_json_object(payload, "$.sources"), F.lit("[]")), wire)
+    given = F.from_json(F.coalesce(j("sources"), F.lit("[]")), wire)
 
     def source(s: Column) -> Column:
         domain = F.coalesce(F.when(filled(s["domain"]), F.lower(F.trim(s["domain"]))), urls.domain(s["url"]))
@@ -143,9 +190,9 @@ def parse(raw: DataFrame, payload: str = "payload") -> DataFrame:
             F.coalesce(s["published_at"], s["publishedAt"]).alias("published_at"), F.coalesce(s["source_type"], s["sourceType"]).alias("source_type"), F.coalesce(values.flag(F.coalesce(s["is_primary"], s["isPrimary"])), F.lit(False)).alias("is_primary"),
         )
 
-    return raw.select(
+    return rows.select(
         "*",
-        route(F.col(payload)).alias("route"), version(F.col(payload)).alias("contract_version"), F.trim(j("event_key", "eventKey")).alias("event_key"), values.whole(j("revision")).alias("revision"),
+        _route(F.col(payload), F.col("_readable"), field).alias("route"), _version(field).alias("contract_version"), F.trim(j("event_key", "eventKey")).alias("event_key"), values.whole(j("revision")).alias("revision"),
         j("topic").alias("topic"), j("title").alias("title"), j("first_seen", "firstSeen").alias("first_seen"), j("last_seen", "lastSeen").alias("last_seen"),
         values.flag(j("is_multi_source", "isMultiSource", "multiSource")).alias("is_multi_source"), values.whole(j("source_count", "sourceCount")).alias("source_count"),
         values.real(j("cluster_confidence", "clusterConfidence")).alias("cluster_confidence"), j("cursor").alias("cursor"), F.transform(given, source).alias("sources"), j("payload_hash", "payloadHash").alias("payload_hash"),
@@ -160,7 +207,7 @@ def ingest(raw: DataFrame, ledger: DataFrame, payload: str = "payload") -> DataF
     from quillspark.functions.canonical import payload_hash
     from quillspark.operators import revisions
 
-    typed = validate(parse(raw, payload).where(F.col("route").isin("V1", "LEGACY")).withColumn("_hash", payload_hash(F.col(payload))), F.col("_hash"))
-    keyed = typed.where(filled(F.col("event_key"))).withColumn("payload_hash", F.coalesce("payload_hash", "_hash"))
+    checked = validate(parse(raw, payload).where(F.col("route").isin("V1", "LEGACY")).withColumn("_hash", payload_hash(F.col(payload))), F.col("_hash"))
+    keyed = checked.where(filled(F.col("event_key"))).withColumn("payload_hash", F.coalesce("payload_hash", "_hash"))
     decided = revisions.with_ledger(ledger, keyed)
     return decided.withColumn("decision", F.when(~F.col("valid"), "INVALID").otherwise(F.col("decision")))

@@ -14,10 +14,10 @@ def decide(deliveries: DataFrame, key: str = "event_key", revision: str = "revis
     """
     same = Window.partitionBy(key, revision).orderBy(arrival)
     before = Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    rows = deliveries.withColumns({
+    # The window by key comes first: rows that it has dealt out by key need not move again for the others.
+    rows = deliveries.withColumn("_max", F.max(revision).over(before)).withColumns({
         "_nth": F.row_number().over(same),
         "_first": F.first_value(F.lower(F.trim(digest))).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_max": F.max(revision).over(before),
     })
     decision = (
         F.when(F.col("_max").isNull(), "ACCEPT_NEW_EVENT")
@@ -31,10 +31,10 @@ def decide(deliveries: DataFrame, key: str = "event_key", revision: str = "revis
     return rows.withColumn("decision", decision).drop("_nth", "_first", "_max")
 
 
-def with_ledger(ledger: DataFrame, batch: DataFrame) -> DataFrame:
+def with_ledger(ledger: DataFrame, batch: DataFrame, key: str = "event_key") -> DataFrame:
     """Decisions for a batch after what a ledger has stored: ledger rows come first and are not returned."""
     both = ledger.withColumn("_new", F.lit(False)).unionByName(batch.withColumn("_new", F.lit(True)), allowMissingColumns=True)
-    return decide(both).where("_new").drop("_new")
+    return decide(both, key).where("_new").drop("_new")
 
 
 def cursors(decided: DataFrame) -> DataFrame:

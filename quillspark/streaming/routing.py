@@ -39,21 +39,30 @@ def judged(raw: DataFrame, ledger: DataFrame, payload: str = "payload") -> DataF
     """Deliveries (seq, payload) with target and reason, after a ledger (seq, event_key, revision, payload_hash) of accepted ones.
 
     Payloads that name no event and no contract pass; unreadable and oversized ones are dead letters; the rest is validated and
-    decided, and what is neither a new event nor a new revision is rejected with its decision and issues.
+    decided, and what is neither a new event nor a new revision is rejected with its decision and issues. Rows are read once and
+    move once, by event key, with what was found in them; there is no join.
     """
-    from quillspark.operators import contract
-
-    named = F.coalesce(*[F.get_json_object(payload, f"$.{k}") for k in ("event_key", "eventKey", "contract_version", "contractVersion")])
-    readable = F.try_parse_json(payload).isNotNull()
-    kind = F.when(~F.coalesce(readable, F.lit(False)), "dead_letter").when(named.isNull(), "passed").when(~contract.route(F.col(payload)).isin("V1", "LEGACY"), "dead_letter")
-    sorted_out = raw.select("seq", payload, kind.alias("target"), F.when(kind == "dead_letter", F.when(readable, contract.route(F.col(payload))).otherwise("MALFORMED_JSON")).alias("reason"))
-    under = raw.join(sorted_out.where("target is null").select("seq"), "seq", "left_semi")
-    decided = contract.ingest(under, ledger, payload)
-    new = F.col("decision").isin("ACCEPT_NEW_EVENT", "ACCEPT_NEW_REVISION")
-    told = decided.select("seq", F.when(new, "accepted").otherwise("rejected").alias("_target"), F.rtrim(F.concat_ws(" ", "decision", F.array_join(F.transform("issues", lambda i: i["code"]), ","))).alias("_reason"), "event_key", "revision", "payload_hash")
-    joined = sorted_out.join(told, "seq", "left")
-    # A payload under the contract that has no event key at all can't be decided.
-    return joined.select("seq", payload, F.coalesce("target", "_target", F.lit("rejected")).alias("target"), F.coalesce("reason", "_reason", F.when(F.col("target").isNull(), "MISSING_EVENT_KEY")).alias("reason"), "event_key", "revision", "payload_hash")
+    from quillspark.functions.canonical import payload_hash
+    from quillspark.operators import contract, revisions
+
+    f, readable = contract.field, F.col("_readable")
+    named = F.coalesce(f("event_key"), f("eventKey"), f("contract_version"), f("contractVersion"))
+    kind = F.when(~readable, "dead_letter").when(named.isNull(), "passed").when(~F.col("route").isin("V1", "LEGACY"), "dead_letter")
+    read = contract.typed(contract.opened(raw.select("seq", payload), payload), payload).withColumn("target", kind)
+    under = F.col("target").isNull()
+    checked = contract.validate(read.withColumn("_hash", payload_hash(F.when(under, F.col(payload)))), F.col("_hash"))
+    # A payload under the contract that has no event key at all can't be decided. What is not decided is a key of its own.
+    decidable = under & contract.filled(F.col("event_key"))
+    event = F.concat(F.lit("="), "event_key")
+    rows = checked.select(
+        "seq", payload, "target", F.when(F.col("target") == "dead_letter", F.when(readable, F.col("route")).otherwise("MALFORMED_JSON")).alias("reason"), "event_key", "revision", F.coalesce("payload_hash", "_hash").alias("payload_hash"),
+        "valid", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("_codes"), decidable.alias("_decided"), F.when(decidable, event).otherwise(F.concat(F.lit("#"), F.col("seq").cast("string"))).alias("_key"),
+    )
+    told = revisions.with_ledger(ledger.withColumn("_key", event), rows, "_key")
+    decision, decided = F.when(F.col("valid"), F.col("decision")).otherwise("INVALID"), F.col("_decided")
+    target = F.when(decided & decision.isin("ACCEPT_NEW_EVENT", "ACCEPT_NEW_REVISION"), "accepted").otherwise("rejected")
+    reason = F.when(decided, F.rtrim(F.concat_ws(" ", decision, "_codes"))).when(under, "MISSING_EVENT_KEY")
+    return told.select("seq", payload, F.coalesce("target", target).alias("target"), F.coalesce("reason", reason).alias("reason"), *[F.when(decided, F.col(c)).alias(c) for c in ("event_key", "revision", "payload_hash")])
 
 
 def fan_out(path: str, judge: Callable[[DataFrame, int], DataFrame], targets: tuple[str, ...] = TARGETS) -> Callable[[DataFrame, int], None]:

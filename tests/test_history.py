@@ -243,3 +243,36 @@ def test_an_interrupted_batch_is_written_anew(spark, deliveries, tmp_path):
     assert routing.committed(spark, path) == [0, 1]
     assert sorted((r.seq, r.reason) for r in routing.table(spark, path, "rejected", routing.ROUTED).collect()) == [(0, "DUPLICATE"), (1, "DUPLICATE")]
     assert routing.table(spark, path, "accepted", routing.ROUTED).count() == 2
+
+
+def test_rows_are_judged_in_one_pass(spark, deliveries):
+    ledger = spark.createDataFrame([], "seq long, event_key string, revision int, payload_hash string")
+    # Numbers that repeat, or none, multiply or lose no delivery.
+    rows = [(1, p) for _, p in deliveries] + [(None, "{no"), (None, '{"id": 1}')]
+    got = routing.judged(spark.createDataFrame(rows, "seq long, payload string"), ledger)
+    assert sorted(str(r.payload) for r in got.collect()) == sorted(str(p) for _, p in rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("json_tuple") == 1 and "get_json_object" not in plan
+    moved = routing.judged(spark.range(100).selectExpr("id as seq", "'{}' as payload"), ledger)
+    moved.collect()
+    assert moved._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_opened_payloads_have_the_fields_of_single_reads(spark):
+    from quillspark.operators import contract
+
+    odd = ['{"title": 1.50, "topic": {"b": 1, "a": [1, "x"]}, "revision": "", "cursor": null, "event_key": "\\u00e9 \\"q\\"", "sources": [{"url": "a"}]}', '{"title": true, "sources": "none", "eventKey": 1e5}', '[{"title": "T"}]', '"title"', "7", "{}", "{no", '{"title": "T"} x', "", None]
+    rows = contract.opened(spark.createDataFrame([(x,) for x in odd], "payload string"))
+    pairs = rows.select(*[F.struct(contract.field(n), F.get_json_object("payload", f"$.{n}")).alias(n) for n in contract.FIELDS], "_readable", F.try_parse_json("payload").isNotNull().alias("json")).collect()
+    for r in pairs:
+        assert r._readable == r.json and (not r.json or all(r[n][0] == r[n][1] for n in contract.FIELDS)), r
+
+
+def test_routed_files_are_many(spark, tmp_path, monkeypatch):
+    from quillspark.plans import history as plans
+
+    (tmp_path / "sf").mkdir()
+    spark.range(6_000).selectExpr("id as o_orderkey", "timestamp'2024-01-01' as o_orderdate").coalesce(1).write.parquet(str(tmp_path / "sf/orders.parquet"))
+    monkeypatch.setattr(plans, "scratch", lambda *_: str(tmp_path / "routing"))
+    assert plans.routed_deliveries(spark, str(tmp_path / "sf")).count() == 8_000
+    assert len(list((tmp_path / "routing/plain/0").glob("part-*"))) >= 32  # one row group was one file and one task
